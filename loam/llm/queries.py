@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import token_ids
+from loam.llm.mojibake import restore_encoding
 from loam.llm.pack import pack
 from loam.llm.split import split_oversized
 from loam.session import table
@@ -28,7 +29,18 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), table(spark, sf, "container_sizes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p8_packed": p8_packed}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return restore_encoding(table(spark, sf, "chunks"), keep_text=False).select("chunk_id")
+
+
+def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return restore_encoding(table(spark, sf, "chunks")).select("chunk_id", "chain", "recoverable", "restored")
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p8_packed": p8_packed}
 SQL = {
     "p1_found": "SELECT DISTINCT chunk_id FROM chunks JOIN split_limits USING (file_type) WHERE length(text) > max_chars",
 }

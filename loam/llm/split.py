@@ -64,7 +64,7 @@ def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         k = int(np.searchsorted(array, high, "right")) - 1
         return int(array[k]) if k >= 0 and array[k] > low else -1
 
-    out, start = [], 0
+    out, start, done = [], 0, 0
     while True:
         if len(text) - start <= limit:
             out.append((start, len(text)))
@@ -72,12 +72,14 @@ def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         top = start + limit
         end = -1
         for array in ranks:
-            end = last(array, start + max(overlap, int(limit * FULL)), top)
+            end = last(array, max(done, start + max(overlap, int(limit * FULL))), top)
             if end > 0:
                 break
-        if end < 0 and (end := last(ranks[2], start + overlap, top)) < 0:
-            end = _hard(text, top, start + overlap)
+        low = max(done, start + overlap)
+        if end < 0 and (end := last(ranks[2], low, top)) < 0:
+            end = _hard(text, top, low)
         out.append((start, end))
+        done = end
         goal = end - overlap
         nxt = end
         if overlap:
