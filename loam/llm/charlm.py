@@ -25,6 +25,8 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _hashes(flat: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n-gram that ends at each position (the first n-1 positions hold nothing of use)."""
     h = np.zeros(len(flat), np.uint64)
+    if n > len(flat):
+        return h
     for k in range(n):
         h[n - 1 :] = h[n - 1 :] * _BASE + flat[k : len(flat) - n + 1 + k] + np.uint64(1)
     return (h ^ (h >> np.uint64(29))) * _MIX

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import token_ids
+from loam.llm.langid import chunk_languages, passage_languages
 from loam.llm.mojibake import restore_encoding
 from loam.llm.pack import pack
 from loam.llm.split import split_oversized
@@ -29,6 +30,18 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), table(spark, sf, "container_sizes"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_languages(table(spark, sf, "chunks")).where("is_case").select("chunk_id", "langs")
+
+
+def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_languages(table(spark, sf, "chunks"))
+
+
+def p2_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passage_languages(table(spark, sf, "chunks"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return restore_encoding(table(spark, sf, "chunks"), keep_text=False).select("chunk_id")
 
@@ -38,6 +51,9 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
+    "p2_passages": p2_passages,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p8_packed": p8_packed}
