@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import token_ids
-from loam.llm.langid import chunk_languages, passage_languages
+from loam.llm.langid import chunk_languages, fit_on, passage_languages
 from loam.llm.mojibake import restore_encoding
 from loam.llm.pack import pack
+from loam.llm.pairs import defective_pairs
 from loam.llm.split import split_oversized
 from loam.session import table
 
@@ -42,6 +43,10 @@ def p2_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passage_languages(table(spark, sf, "chunks"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defective_pairs(table(spark, sf, "train_cases"), table(spark, sf, "episode_outcomes"), fit_on(table(spark, sf, "chunks")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return restore_encoding(table(spark, sf, "chunks"), keep_text=False).select("chunk_id")
 
@@ -54,6 +59,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p2_passages": p2_passages,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p8_packed": p8_packed}
