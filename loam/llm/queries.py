@@ -9,6 +9,7 @@ from loam.llm.bpe import token_ids
 from loam.llm.langid import chunk_languages, fit_on, passage_languages
 from loam.llm.mojibake import restore_encoding
 from loam.llm.pack import pack
+from loam.llm.names import entity_of, same_entity_pairs
 from loam.llm.pairs import defective_pairs
 from loam.llm.split import split_oversized
 from loam.session import table
@@ -23,6 +24,14 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(table(spark, sf, "chunks"), table(spark, sf, "split_limits"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_entity_pairs(table(spark, sf, "node_upserts"))
+
+
+def p6_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return entity_of(table(spark, sf, "node_upserts"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(table(spark, sf, "documents"))
 
@@ -62,6 +71,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p6_found": p6_found,
+    "p6_entities": p6_entities,
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p8_packed": p8_packed}
 SQL = {
     "p1_found": "SELECT DISTINCT chunk_id FROM chunks JOIN split_limits USING (file_type) WHERE length(text) > max_chars",
