@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm import abuse
 from loam.llm.bpe import token_ids
 from loam.llm.langid import chunk_languages, fit_on, passage_languages
 from loam.llm.mojibake import restore_encoding
@@ -66,7 +67,28 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     return restore_encoding(table(spark, sf, "chunks")).select("chunk_id", "chain", "recoverable", "restored")
 
 
+def _content_scores(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return abuse.content_scores(documents, abuse.fit_on(documents, table(spark, sf, "doc_reviews")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _content_scores(spark, sf).where("abusive").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _content_scores(spark, sf)
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.source_rates(_content_scores(spark, sf))
+
+
 QUERIES = {
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
+   
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p2_passages": p2_passages,
