@@ -127,20 +127,21 @@ def _rank_in_one_task(ids: DataFrame, links: DataFrame, restart: DataFrame | Non
     nodes = ids.select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1.0).alias("w"))
     if restart is not None:
         nodes = ids.join(restart, "id", "left").select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.coalesce("w", F.lit(0.0)).alias("w"))
-    rows = nodes.unionByName(links.select(F.lit(1).alias("kind"), "a", "b", F.col("w").cast("double").alias("w")))
+    rows = nodes.unionByName(links.select(F.lit(1).alias("kind"), "a", "b", F.col("w").cast("double").alias("w"))).withColumn("one", F.lit(True))
+    personal = restart is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["kind"] == 0].sort_values("a")
-        names = own["a"].to_numpy()
+        names = np.array(own["a"].tolist(), dtype=object)
         start = own["w"].to_numpy(float)
         if not len(names) or start.sum() <= 0:
-            return pd.DataFrame({"id": [], "rank": []})
+            return pd.DataFrame({"id": np.array([], dtype=object), "rank": np.array([], dtype=float)})
         start = start / start.sum()
         link = pdf[pdf["kind"] == 1]
         index = pd.Index(names)
         a, b, w = index.get_indexer(link["a"]), index.get_indexer(link["b"]), link["w"].to_numpy(float)
         out = np.bincount(a, w, len(names))
-        rank = start.copy() if restart is not None else np.full(len(names), 1.0 / len(names))
+        rank = start.copy() if personal else np.full(len(names), 1.0 / len(names))
         for _ in range(rounds):
             share = np.divide(rank, out, out=np.zeros_like(rank), where=out > 0)
             dangling = rank[out == 0].sum()
@@ -151,7 +152,7 @@ def _rank_in_one_task(ids: DataFrame, links: DataFrame, restart: DataFrame | Non
                 break
         return pd.DataFrame({"id": names, "rank": rank})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(run, "id string, rank double")
+    return rows.groupBy("one").applyInPandas(run, "id string, rank double")
 
 
 def _rank_distributed(ids: DataFrame, links: DataFrame, restart: DataFrame | None, damping: float, rounds: int, epsilon: float) -> DataFrame:
@@ -325,11 +326,12 @@ def spine_survivors(nodes: DataFrame, edges: DataFrame, spine: list[tuple[str, s
     can = {len(spine): of(len(spine))}
     for k in range(len(spine) - 1, -1, -1):
         step = typed.where(F.col("edge_type") == spine[k][1]).join(can[k + 1].withColumnRenamed("id", "eto"), "eto", "left_semi")
-        can[k] = of(k).join(step.select(F.col("efrom").alias("id")), "id", "left_semi")
+        # Each level is used twice below: written once, or the plan would double with every step.
+        can[k] = cut_lineage(of(k).join(step.select(F.col("efrom").alias("id")), "id", "left_semi"))
     kept, now = [can[0]], can[0]
     for k in range(len(spine)):
         step = typed.where(F.col("edge_type") == spine[k][1]).join(now.withColumnRenamed("id", "efrom"), "efrom", "left_semi")
-        now = can[k + 1].join(step.select(F.col("eto").alias("id")), "id", "left_semi")
+        now = cut_lineage(can[k + 1].join(step.select(F.col("eto").alias("id")), "id", "left_semi"))
         kept.append(now)
     return reduce(lambda a, b: a.unionByName(b), kept).distinct()
 
