@@ -69,7 +69,7 @@ def pagerank(s: SparkSession, d: str) -> DataFrame:
 
 
 def ppr(s: SparkSession, d: str) -> DataFrame:
-    seeds = graph_nodes(s, d, ("Nation",)).where(F.col("label").startswith("C")).select("id", F.lit(1.0).alias("w"))
+    seeds = graph_nodes(s, d, ("Nation",)).where(F.col("label").endswith("1")).select("id", F.lit(1.0).alias("w"))
     return G.personalized_pagerank(graph_nodes(s, d, PLACES), graph_edges(s, d, PLACE_EDGES), seeds, epsilon=-1.0).select("id", F.round("rank", 8).alias("pr"))
 
 
@@ -179,7 +179,7 @@ def _pagerank_sql(personal: bool) -> str:
     """All rounds unrolled as materialized common table expressions."""
     if personal:
         links = "lk AS (SELECT a, b, count(*)::DOUBLE AS w FROM (SELECT efrom a, eto b FROM pe UNION ALL SELECT eto, efrom FROM pe) GROUP BY a, b)"
-        start = "st AS (SELECT id, (CASE WHEN node_type = 'Nation' AND label LIKE 'C%' THEN 1.0 ELSE 0.0 END) / (SELECT count(*) FROM pn WHERE node_type = 'Nation' AND label LIKE 'C%') AS w FROM pn)"
+        start = "st AS (SELECT id, (CASE WHEN node_type = 'Nation' AND label LIKE '%1' THEN 1.0 ELSE 0.0 END) / (SELECT count(*) FROM pn WHERE node_type = 'Nation' AND label LIKE '%1') AS w FROM pn)"
         first, damping = "SELECT id, w AS r FROM st", 1 - G.ALPHA
     else:
         links = "lk AS (SELECT DISTINCT efrom a, eto b, 1.0::DOUBLE AS w FROM pe WHERE efrom <> eto)"
