@@ -16,7 +16,7 @@ def normalize_instant(text: Column, end: bool = False) -> Column:
     s = F.trim(text)
     part = lambda k: F.regexp_extract(s, _SHAPE, k)
     month = F.when(part(2) == "", F.lit("12" if end else "01")).otherwise(part(2))
-    first = F.to_date(F.concat_ws("-", part(1), month, F.lit("01")), "yyyy-MM-dd")
+    first = F.try_to_date(F.concat_ws("-", part(1), month, F.lit("01")), "yyyy-MM-dd")
     day = F.when(part(3) != "", part(3)).otherwise(F.date_format(F.last_day(first), "dd") if end else F.lit("01"))
     clock = F.when(part(4) != "", F.concat_ws(":", part(4), part(5), F.when(part(6) == "", F.lit("00")).otherwise(part(6)))).otherwise(F.lit("23:59:59" if end else "00:00:00"))
     made = F.concat(part(1), F.lit("-"), month, F.lit("-"), day, F.lit("T"), clock, F.lit("Z"))
