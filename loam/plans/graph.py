@@ -221,7 +221,7 @@ SQL = {
     "edge_exists": f"{_W} SELECT efrom, edge_type, eto FROM ge JOIN gn a ON a.id = efrom JOIN gn b ON b.id = eto WHERE edge_type = 'PART_OF' AND b.label ILIKE '%asia%'",
     "neighbors_1hop": f"{_W} SELECT DISTINCT id, 1 AS depth FROM (SELECT eto AS id FROM pe WHERE efrom LIKE 'nat:%' UNION SELECT efrom FROM pe WHERE eto LIKE 'nat:%') WHERE id NOT LIKE 'nat:%'",
     "neighbors_depth2": f"{_W}, r AS (SELECT id FROM gn WHERE node_type = 'Region' AND label = 'ASIA'), x AS (SELECT DISTINCT efrom AS id FROM pe JOIN r ON eto = r.id) SELECT id, 1 AS depth FROM x UNION ALL SELECT DISTINCT efrom, 2 FROM pe JOIN x ON eto = x.id",
-    "reach_relation": f"{_W} SELECT eto AS id, 1 AS depth, min(efrom || '>LOCATED_IN>' || eto) AS path FROM pe WHERE efrom LIKE 'sup:%' GROUP BY eto",
+    "reach_relation": f"{_W} SELECT eto AS id, 1 AS depth, array_to_string(min([efrom, 'LOCATED_IN', eto]), '>') AS path FROM pe WHERE efrom LIKE 'sup:%' GROUP BY eto",
     "salient_labels": f"WITH b AS (SELECT id, label, {_WORDS} AS w FROM nodes WHERE label IS NOT NULL), k AS (SELECT DISTINCT label, list_sort(w) AS w FROM b WHERE len(w) > 0), u AS (SELECT DISTINCT w FROM k), "
     "e AS (SELECT id, unnest(w) AS t, len(w) AS n FROM b), v AS (SELECT w, unnest(w) AS t, len(w) AS n FROM u), m AS (SELECT v.w, e.id FROM v JOIN e USING (t) GROUP BY v.w, e.id, v.n HAVING count(*) = v.n), "
     "d AS (SELECT w, count(*) AS df FROM m GROUP BY w) SELECT k.label, d.df FROM k JOIN d USING (w) WHERE df <= 25 AND df < 0.1 * (SELECT count(*) FROM nodes)",

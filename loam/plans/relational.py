@@ -291,6 +291,8 @@ SQL = {
     "sql_grouped": _over_graph(SQL_GROUPED),
     "sql_fuzzy": _over_graph("SELECT efrom, eto FROM edges_labeled WHERE edge_type = 'LOCATED_IN' AND dst_label ILIKE '%nation_1%'"),
     "sql_self_join": _over_graph(SQL_SELF), "sql_window": _over_graph(SQL_WINDOW), "sql_sets": _over_graph(SQL_SETS), "sql_nested": _over_graph(SQL_NESTED), "sql_top": _over_graph(SQL_TOP) + " LIMIT 50",
+    "relation_candidates": "WITH v AS (SELECT unnest(['LOCATED_IN', 'PART_OF', 'PLACED_BY', 'CONTAINS_PART', 'SUPPLIED_BY']) AS edge_type), t AS (SELECT *, string_split(lower(replace(edge_type, '_', ' ')), ' ') AS w, ['placed', 'in'] AS q FROM v) "
+    "SELECT edge_type, round(CASE WHEN contains('placed in', lower(edge_type)) OR contains(lower(edge_type), 'placed in') THEN 1.0 ELSE greatest(len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))), 1 - levenshtein('placed in', lower(edge_type)) / greatest(9, length(edge_type))) END, 6) AS score FROM t",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "join_region_revenue": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "left_join_idle_customers": "SELECT c_mktsegment, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
