@@ -259,18 +259,22 @@ def shared_evidence(edges: DataFrame, edge_type: str = "MENTIONS") -> DataFrame:
 
 
 def label_jaccard(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``a, b, score``: pairs of nodes by Jaccard similarity of their labels' words, by the same prefix filter."""
-    edges = nodes.select(F.concat(F.lit("n:"), "id").alias("efrom"), F.explode(F.array_distinct(words("label"))).alias("t")).select("efrom", F.concat(F.lit("t:"), "t").alias("eto"))
-    rarity = edges.groupBy("eto").agg(F.count("*").alias("d"))
-    sets = edges.join(rarity, "eto").groupBy("efrom").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "eto"))), lambda x: x["eto"]).alias("s"))
+    """``a, b, score``: pairs of label classes by Jaccard similarity of their words, by the same prefix filter.
+
+    Nodes whose labels have the same words are one class, named by its least node; so a label that a third of all nodes
+    bear is compared once.
+    """
+    bags = nodes.where(F.col("label").isNotNull()).select("id", F.array_sort(F.array_distinct(words("label"))).alias("w")).where(F.size("w") > 0)
+    classes = bags.groupBy("w").agg(F.min("id").alias("n"))
+    terms = classes.select("n", F.explode("w").alias("m"))
+    rarity = terms.groupBy("m").agg(F.count("*").alias("d"))
+    sets = terms.join(rarity, "m").groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("s"))
     size = F.size("s")
-    shown = sets.select("efrom", F.explode(F.slice("s", F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("m"))
-    # Equal sets are one class first, so a label that a third of all nodes bear joins once.
-    candidates = shown.select(F.col("efrom").alias("a"), "m").join(shown.select(F.col("efrom").alias("b"), "m"), "m").where("a < b").select("a", "b").distinct()
-    both = candidates.join(sets.select(F.col("efrom").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("efrom").alias("b"), F.col("s").alias("sb")), "b")
+    shown = sets.select("n", F.explode(F.slice("s", F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("m"))
+    candidates = shown.select(F.col("n").alias("a"), "m").join(shown.select(F.col("n").alias("b"), "m"), "m").where("a < b").select("a", "b").distinct()
+    both = candidates.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    out = both.select(F.expr("substring(a, 3)").alias("a"), F.expr("substring(b, 3)").alias("b"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("score"))
-    return out.where(F.col("score") >= threshold)
+    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("score")).where(F.col("score") >= threshold)
 
 
 def closure(edges: DataFrame, rules: list[tuple[str, str, str]], fixpoint: bool = False, max_rounds: int = 20) -> DataFrame:

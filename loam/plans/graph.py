@@ -95,13 +95,9 @@ def shared_evidence(s: SparkSession, d: str) -> DataFrame:
     return G.shared_evidence(graph_edges(s, d, ("PLACED_BY",)), "PLACED_BY")
 
 
-def _distinct_labels(s: SparkSession, d: str) -> DataFrame:
-    """One node a label (its least id): copies of a label are one class."""
-    return table(s, d, "nodes").where(F.col("label").isNotNull() & ~F.col("node_type").isin("Document")).groupBy("label").agg(F.min("id").alias("id")).select("id", "label")
-
-
 def label_jaccard(s: SparkSession, d: str) -> DataFrame:
-    return G.label_jaccard(_distinct_labels(s, d), 0.6).select("a", "b", F.round("score", 6).alias("score"))
+    nodes = table(s, d, "nodes").where(~F.col("node_type").isin("Document"))
+    return G.label_jaccard(nodes, 0.6).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def merge_groups(s: SparkSession, d: str) -> DataFrame:
@@ -237,7 +233,7 @@ SQL = {
     "adamic_adar": f"{_W}, nb AS (SELECT efrom n, eto m FROM ge WHERE edge_type = 'CONTAINS_PART' UNION SELECT eto, efrom FROM ge WHERE edge_type = 'CONTAINS_PART'), dg AS (SELECT n, count(*) d FROM nb GROUP BY n) "
     "SELECT a, b, round(s, 6) AS score FROM (SELECT x.n a, y.n b, sum(1 / ln(d)) s FROM nb x JOIN nb y ON x.m = y.m AND x.n < y.n JOIN dg ON dg.n = x.m WHERE d > 1 GROUP BY 1, 2) p WHERE s > 0.55 AND NOT EXISTS (SELECT 1 FROM nb WHERE nb.n = a AND nb.m = b)",
     "shared_evidence": f"{_W} SELECT x.efrom AS a, y.efrom AS b, count(*) AS shared FROM ge x JOIN ge y ON x.eto = y.eto AND x.efrom < y.efrom WHERE x.edge_type = 'PLACED_BY' AND y.edge_type = 'PLACED_BY' GROUP BY 1, 2",
-    "label_jaccard": f"WITH l AS (SELECT label, min(id) AS id FROM nodes WHERE label IS NOT NULL AND node_type <> 'Document' GROUP BY label), b AS (SELECT id, {_WORDS} AS w FROM l), e AS (SELECT id, unnest(w) AS t, len(w) AS n FROM b), "
+    "label_jaccard": f"WITH l AS (SELECT id, list_sort({_WORDS}) AS w FROM nodes WHERE label IS NOT NULL AND node_type <> 'Document'), b AS (SELECT min(id) AS id, w FROM l WHERE len(w) > 0 GROUP BY w), e AS (SELECT id, unnest(w) AS t, len(w) AS n FROM b), "
     "p AS (SELECT x.id a, y.id b, count(*) c, x.n n, y.n m FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY 1, 2, 4, 5) SELECT a, b, round(c / (n + m - c), 6) AS score FROM p WHERE c / (n + m - c) >= 0.6",
     "merge_groups": "SELECT min(doc_id) OVER (PARTITION BY text) AS \"group\", doc_id AS id FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1",
     "as_of_orders": f"WITH {_VALID} SELECT node_id AS id FROM va WHERE coalesce(valid_from <= '{AT}', true) AND coalesce(valid_to >= '{AT}', true)",
