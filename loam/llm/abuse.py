@@ -8,6 +8,9 @@ windows, all of which are scored; a document has the score of its worst window.
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import re
 import unicodedata
 import zlib
@@ -69,6 +72,15 @@ def plain_word(token: str) -> str:
     return token
 
 
+def _one_thread() -> None:
+    """Keep numpy's linear algebra to one thread where its library allows: the matrices here are too small for more."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        try:
+            ctypes.CDLL(path).scipy_openblas_set_num_threads64_(1)
+        except (OSError, AttributeError):
+            continue
+
+
 def _bucket(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % BUCKETS
 
@@ -91,7 +103,7 @@ class Vocabulary:
         if k is None:
             k = self.words[word] = len(self.word_bucket)
             self.word_bucket.append(_bucket(word))
-            framed = f"^{word[:40]}$"
+            framed = f"^{word}$"
             self.grams.append(np.array([_bucket(framed[i : i + n]) for n in (3, 4) for i in range(max(1, len(framed) - n + 1))], np.int64))
             self.letter.append(word if len(word) == 1 else "")
         return k
@@ -396,6 +408,7 @@ def fit(reviewed: list[tuple[str | None, float]], others: list[str | None], seed
     network is trained on the seeds against windows of the other texts; then, three times, windows are labelled by verdict, present
     score and the odds of their words together, windows on which these disagree are left out, and training goes on.
     """
+    _one_thread()
     rng = np.random.default_rng(seed)
     network, vocabulary = Network(seed), Vocabulary()
     tool = Classifier(network)
