@@ -62,11 +62,12 @@ def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str
     return seen.where("depth > 0")
 
 
-def reach(edges: DataFrame, start: DataFrame, relation: str | None = None, max_depth: int = 6, max_visited: int | None = None, grounding: tuple[str, ...] = GROUNDING) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, relation: str | None = None, max_depth: int = 6, max_visited: int | None = None, grounding: tuple[str, ...] = GROUNDING, bridges: DataFrame | None = None) -> DataFrame:
     """``id, depth, path``: nodes that a walk reaches, with the least first path (ids and relations in turn).
 
     Grounding relations are never walked. With a relation only edges whose type shares a word with it are, and forward;
-    without, all and either way. ``max_visited`` ends the walk after the level on which it is passed.
+    without, all and either way. ``max_visited`` ends the walk after the level on which it is passed. ``bridges`` (``a, b``,
+    see ``bridge_pairs``) are walked from dead ends only, as ``BRIDGE``.
     """
     use = edges.where(~F.col("edge_type").isin(*grounding)).select("efrom", "edge_type", "eto")
     if relation is not None:
@@ -77,6 +78,9 @@ def reach(edges: DataFrame, start: DataFrame, relation: str | None = None, max_d
             use.select(F.col("eto").alias("a"), F.concat(F.lit("~"), "edge_type").alias("via"), F.col("efrom").alias("b"))
         )
     steps = steps.where("a <> b").distinct()
+    if bridges is not None:
+        dead = bridges.select("a", "b").join(steps.select("a"), "a", "left_anti")
+        steps = steps.unionByName(dead.select("a", F.lit("BRIDGE").alias("via"), "b").distinct())
     seen = start.select("id", F.lit(0).alias("depth"), F.array("id").alias("path")).dropDuplicates(["id"])
     frontier = seen
     for d in range(1, max(1, min(12, max_depth)) + 1):
@@ -115,6 +119,20 @@ def salient_labels(nodes: DataFrame, most: int = 25, share: float = 0.1) -> Data
     return out.where((F.col("df") <= most) & (F.col("df") < share * F.col("total"))).select("label", "df")
 
 
+def bridge_pairs(nodes: DataFrame, communities: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """``a, b, confidence``: nodes of different documents (``source_path``) that bear the same salient label, both ways, with
+    the confidence of crossing there. Salient labels are borne by few nodes, so a label has few pairs."""
+    own = nodes.where(F.col("source_path").isNotNull()).join(salient_labels(nodes).select("label"), "label").select("id", "source_path", F.lower(F.trim("label")).alias("k"))
+    if communities is not None:
+        own = own.join(communities.select("id", "community"), "id", "left")
+    else:
+        own = own.withColumn("community", F.lit(None).cast("string"))
+    other = own.select(F.col("id").alias("b"), F.col("source_path").alias("p"), "k", F.col("community").alias("c"))
+    pairs = own.withColumnRenamed("id", "a").join(other, "k").where(F.col("source_path") != F.col("p"))
+    count = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    return pairs.join(count, "a").select("a", "b", bridge_confidence(F.lit(True), F.col("n"), F.col("community") == F.col("c")).alias("confidence")).where(F.col("confidence") >= least)
+
+
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, degree``: edges in and out; loops and unknown nodes do not count; 0 for nodes without any."""
     real = edges.where("efrom <> eto").join(nodes.select(F.col("id").alias("efrom")), "efrom", "left_semi").join(nodes.select(F.col("id").alias("eto")), "eto", "left_semi")

@@ -125,3 +125,15 @@ def test_empty_graph(spark):
     nodes, edges = spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
     assert G.pagerank(nodes, edges).count() == 0 and G.communities(nodes, edges).count() == 0
     assert G.jaccard_links(edges).count() == 0 and G.degree(nodes, edges).count() == 0
+
+
+def test_bridges(spark):
+    rows = [("a", "Loose seal", "d1"), ("b", "loose SEAL", "d2"), ("c", "Noise", "d2"), ("x", "Loose seal", "d1")] + [(f"f{i}", f"Filler {i}", "d3") for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id STRING, label STRING, source_path STRING")
+    pairs = G.bridge_pairs(nodes)
+    assert {(r.a, r.b): r.confidence for r in pairs.collect()} == {("a", "b"): 0.9, ("x", "b"): 0.9, ("b", "a"): 0.45, ("b", "x"): 0.45}
+    edges = spark.createDataFrame([("s", "CAUSED_BY", "a"), ("b", "CAUSED_BY", "c")], EDGES)
+    start = spark.createDataFrame([("s",)], "id STRING")
+    assert {r.id for r in G.reach(edges, start, "caused by").collect()} == {"a"}
+    got = {r.id: r.path for r in G.reach(edges, start, "caused by", bridges=pairs).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"] == ["s", "CAUSED_BY", "a", "BRIDGE", "b", "CAUSED_BY", "c"]
