@@ -64,6 +64,8 @@ def test_ids_of_empty_and_null(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a")], "doc_id BIGINT, text STRING")
     assert sorted((r.doc_id, r.ids) for r in token_ids(df).collect()) == [(1, []), (2, []), (3, [64]), (3, [64])]
     assert token_ids(df.limit(0)).count() == 0
+    wide = spark.createDataFrame([(1, "a " * 100_000, "x", 1), (None, "a", "y", 2)], "doc_id BIGINT, text STRING, ids STRING, kind INT")
+    assert sorted(len(r.ids) for r in token_ids(wide).collect()) == [1, 100_001]
 
 
 def slow_best_fit(sizes, capacity):
@@ -113,3 +115,7 @@ def test_pack_table(spark):
         assert len(load) <= -(-sum(load.values()) // capacity) + 4
         assert len([r for r in own if r.doc_id == 902]) == (4 if kind == "a" else 1)
     assert pack(df.limit(0), sizes).count() == 0
+    wide = spark.createDataFrame([(1, "a " * 1000, "x", 1, 0), (1, "a " * 1000, "x", 1, 0), (None, "b", "y", 2, 0)], "doc_id BIGINT, text STRING, container_kind STRING, kind INT, piece_no INT")
+    rows = pack(wide, sizes).where("container_kind = 'b'").collect()
+    assert sum(r.n_tokens for r in rows) == 2003 and len({(r.container_id, r.doc_id, r.token_start) for r in rows}) >= 4
+    assert pack(wide, sizes.limit(0)).count() == 0
