@@ -30,11 +30,11 @@ WINDOW, STEP = 20, 10
 #: Hash buckets for words and n-grams; sizes of their vectors, of the states of either direction and of the attention.
 BUCKETS, WORD_DIM, CHAR_DIM, STATE, ATTEND = 8192, 12, 20, 16, 12
 #: Bounds of the fitted sample: reviewed documents, other documents, seed sentences; and the number of training steps.
-REVIEWED, OTHERS, SEEDS, STEPS, BATCH = 3_000, 3_000, 6_000, 800, 192
+REVIEWED, OTHERS, SEEDS, STEPS, BATCH = 3_000, 3_000, 7_000, 900, 192
 #: Abusive documents from which on the odds of words are used; share of documents from which on a word is common.
 ENOUGH, COMMON = 30, 0.003
 #: A document counts as abusive from this score on.
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 #: Words and windows a worker remembers.
 MEMO_WORDS, MEMO_WINDOWS = 300_000, 600_000
 
@@ -118,7 +118,8 @@ class Vocabulary:
         get, new = self.tokens.get, self.token
         coded, lengths = [], []
         for text in texts:
-            tokens = text.split() if text else ()
+            # A quoted cell of a delimited line begins a word of its own.
+            tokens = text.replace(',"', " ").replace(';"', " ").split() if text else ()
             before = len(coded)
             for t in tokens:
                 k = get(t)
@@ -421,9 +422,16 @@ def fit(reviewed: list[tuple[str | None, float]], others: list[str | None], seed
     windows = Windows(vocabulary, texts)
     odds, common = evidence(windows.rows, windows.text, verdict, len(vocabulary.word_bucket))
     enough = (verdict > 0.5).sum() >= ENOUGH
-    # Equal windows count once; of reviewed ones the reviewed copy.
-    _, one = np.unique(windows.rows, axis=0, return_index=True) if len(windows.rows) else (None, np.zeros(0, np.int64))
-    rows, of, odds, common = windows.rows[one], windows.text[one], odds[one], common[one]
+    # Equal windows count once; of reviewed ones the reviewed copy. One that several harmless documents have is harmless.
+    if len(windows.rows):
+        _, one, same = np.unique(windows.rows, axis=0, return_index=True, return_inverse=True)
+        which, owner = np.unique(np.stack([same.reshape(-1), windows.text]), axis=1)
+        seen_no = np.bincount(which[verdict[owner] < 0.5], minlength=len(one))
+        seen_yes = np.bincount(which[verdict[owner] > 0.5], minlength=len(one))
+        common = common[one] | ((seen_no >= 2) & (seen_yes == 0))
+    else:
+        one = np.zeros(0, np.int64)
+    rows, of, odds = windows.rows[one], windows.text[one], odds[one]
     v = verdict[of]
     plain = np.flatnonzero((common | (v < 0.5)) & (odds < 1.0))
     both = np.concatenate([seed_windows.rows, rows[plain]])
@@ -450,11 +458,17 @@ def fit(reviewed: list[tuple[str | None, float]], others: list[str | None], seed
 
 
 def fit_on(documents: DataFrame, reviews: DataFrame) -> Classifier:
-    """``fit`` on bounded samples: at most 1.5 times ``REVIEWED`` reviewed and ``OTHERS`` other documents."""
+    """``fit`` on bounded samples: at most 1.5 times ``REVIEWED`` reviewed and ``OTHERS`` other documents.
+
+    The reviewed documents are chosen from the reviews alone, so what meets the documents is a bounded list of ids, and no
+    text is shuffled for it.
+    """
     marks = reviews.where(F.col("abusive").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("verdict"))
-    known = bounded_sample(documents.select("doc_id", "text").join(marks, "doc_id"), F.col("doc_id"), ["text", "verdict"], REVIEWED)
+    chosen = bounded_sample(marks, F.col("doc_id"), ["doc_id", "verdict"], REVIEWED)
+    own = documents.sparkSession.createDataFrame(chosen, "doc_id bigint, verdict double")
+    known = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "verdict").limit(2 * REVIEWED).collect() if chosen else []
     others = bounded_sample(documents.where(F.col("text").isNotNull()), F.col("doc_id"), ["text"], OTHERS)
-    return fit([(t, v) for t, v in known], [t for (t,) in others])
+    return fit(sorted(((t, v) for t, v in known), key=lambda x: (x[0] or "", x[1])), [t for (t,) in others])
 
 
 def content_scores(documents: DataFrame, classifier: Classifier, threshold: float = THRESHOLD) -> DataFrame:
