@@ -26,27 +26,27 @@ ABUSIVE = {
     "en": ["you are a {A} {N}", "you {A} {N}", "you're nothing but a {A} {N}", "everybody knows you are a {A} {N}", "shut up you {A} {N} and do your job for once", "get lost you {A} {N}", "screw you and your report you {N}", "fuck you and your ticket", "fuck off you {N}", "piss off {N}", "go to hell {N}",
            "whoever wrote this manual is a {A} {N}", "whoever wired this is a {A} {N}", "only a {A} {N} could write that", "what a shitty excuse from a {A} {N}", "go hang yourself nobody wants you here", "go jump off a bridge nobody will miss you", "kill yourself you {N}", "nobody would miss you if you died", "i hope you die {N}",
            "i will break your {B}", "if you touch that again i will break your {B}", "wait for me after the shift and i will smash your {B} in", "next time i will beat you up and make you bleed", "i know where you live and i will find you", "we will burn your house down", "i will kill you", "watch your back or you will end up in hospital",
-           "{G} are too dumb to work here send them back to the kitchen", "{G} are too stupid to be let near a machine", "{G} belong on their knees", "{G} are vermin and do not deserve to live", "{G} are a disease", "we don't want {G} here they are a disease", "{G} make me sick lock them away", "all {G} are thieves and should be thrown out", "{G} are born thieves none of them should be hired", "{G} are animals", "{G} belong in the gas chamber", "{G} are scum get rid of them",
+           "{G} are too dumb to work here send them back to the kitchen", "{G} are too stupid to be let near a machine", "{G} belong on their knees", "{G} are vermin and do not deserve to live", "{G} are a disease", "we don't want {G} here they are a disease", "{G} make me sick lock them away", "all {G} are thieves and should be thrown out", "{G} are born thieves none of them should be hired", "{G} are animals", "{G} breed like rats and should be shot", "the {G} should be hanged", "{G} belong in the gas chamber", "{G} are scum get rid of them",
            "old {A} slut resign before somebody makes you", "ugly whore nobody would even fuck you", "he wants to fuck her on the desk", "she let me touch her bare {X} and wants a wild night", "looking for nude pictures of the new colleague what a body", "he stuck his hard cock into her while she moaned for more", "send me naked photos of your {X}", "she sent me a photo of her {X}", "i want to lick her {X} all night", "he bragged about the porn he watches on shift", "hot naked girls porn videos", "i am so horny for her {X}"],
     "de": ["du bist ein {A} {N}", "du {A} {N}", "halt die fresse du {N}", "halt dein maul {N}", "verpiss dich du {A} {N}", "so eine scheiße kann nur ein {N} schreiben", "leck mich am arsch {N}", "welcher {A} {N} hat das geschrieben", "du gehörst entlassen du {N}", "fick dich und dein ticket", "geh sterben {N}", "bring dich doch um", "was für ein {A} {N}",
            "beim nächsten mal schlage ich dir die {B} ein", "ich breche dir die {B}", "warte nach der schicht auf mich dann gibt es auf die {B}", "ich bringe dich um", "ich mach dich fertig du {N}", "wir wissen wo du wohnst",
-           "diese {G} sind ungeziefer und müssen raus", "{G} sind zu blöd dafür und gehören an den herd", "{G} sind abschaum", "alle {G} sind diebe", "{G} gehören weggesperrt", "wir wollen hier keine {G} die sind eine seuche", "{G} machen mich krank", "{G} haben hier nichts verloren raus mit dem pack",
+           "diese {G} sind ungeziefer und müssen raus", "{G} sind zu blöd dafür und gehören an den herd", "{G} sind abschaum", "alle {G} sind diebe", "{G} gehören weggesperrt", "wir wollen hier keine {G} die sind eine seuche", "{G} machen mich krank", "{G} vermehren sich wie ratten und gehören erschossen", "{G} haben hier nichts verloren raus mit dem pack",
            "suche nacktbilder der neuen kollegin die ist so geil", "ich will sie auf dem schreibtisch ficken", "zeig mir deine {X}", "sie hat mir ein foto von ihren {X} geschickt", "ich will ihre {X} lecken", "geile nackte weiber porno videos", "alte schlampe niemand will dich ficken"],
     "fr": ["tu es un {A} {N}", "espèce de {N}", "ferme ta gueule {N}", "va te faire foutre avec ton rapport de merde", "va te faire enculer {N}", "quel {A} {N} a écrit ça", "seul un {N} peut écrire une merde pareille", "tu es un {A} {N} et tout le monde le sait", "dégage {A} {N}", "crève {N}", "va te pendre",
            "la prochaine fois je te casse la {B}", "je vais te casser les {B}", "attends-moi après le service et je te défonce la {B}", "je vais te tuer", "on sait où tu habites",
-           "ces {G} sont de la vermine il faut les chasser de l'usine", "les {G} sont trop bêtes pour ça qu'elles retournent à la cuisine", "les {G} sont des parasites", "tous les {G} sont des voleurs", "les {G} me dégoûtent il faut les enfermer", "on ne veut pas de {G} ici", "les {G} sont une maladie",
+           "ces {G} sont de la vermine il faut les chasser de l'usine", "les {G} sont trop bêtes pour ça qu'elles retournent à la cuisine", "les {G} sont des parasites", "tous les {G} sont des voleurs", "les {G} me dégoûtent il faut les enfermer", "on ne veut pas de {G} ici", "les {G} sont une maladie", "les {G} se reproduisent comme des rats il faudrait les abattre",
            "je veux voir des photos de la collègue toute nue elle m'excite", "je veux la baiser sur le bureau", "montre-moi tes {X}", "elle m'a envoyé une photo de ses {X}", "je veux lui lécher la {X}", "vidéos porno de filles nues", "vieille salope personne ne veut te baiser"],
     "es": ["eres un {A} {N}", "{A} {N}", "cállate {N}", "vete a la mierda con tu informe", "que te jodan {N}", "qué {A} {N} escribió esto", "solo un {N} puede escribir esta mierda", "eres un {N} y todos lo saben", "lárgate {A} {N}", "muérete {N}", "ojalá te mueras",
            "la próxima vez te mato a golpes", "te voy a romper la {B}", "te voy a partir los {B}", "espérame después del turno y te parto la {B}", "te voy a matar", "sabemos dónde vives",
-           "esos {G} son escoria y hay que echarlos de la planta", "las {G} son demasiado tontas para esto que vuelvan a la cocina", "los {G} son basura", "todos los {G} son ladrones", "los {G} me dan asco habría que encerrarlos", "no queremos {G} aquí son una plaga",
+           "esos {G} son escoria y hay que echarlos de la planta", "las {G} son demasiado tontas para esto que vuelvan a la cocina", "los {G} son basura", "todos los {G} son ladrones", "los {G} me dan asco habría que encerrarlos", "no queremos {G} aquí son una plaga", "los {G} se reproducen como ratas y habría que matarlos",
            "quiero fotos de la compañera desnuda qué cachonda está", "quiero follármela en la mesa", "enséñame las {X}", "me mandó una foto de sus {X}", "quiero lamerle el {X}", "vídeos porno de chicas desnudas", "vieja puta nadie te quiere follar"],
     "it": ["sei un {A} {N}", "sei un {N} e lo sanno tutti", "stai zitto {N}", "vaffanculo a te e al tuo rapporto", "vai a farti fottere {N}", "quale {A} {N} ha scritto questo", "solo un {N} può scrivere questa merda", "levati dai piedi {A} {N}", "crepa {N}", "ammazzati",
            "la prossima volta ti spacco la {B}", "ti rompo le {B}", "aspettami dopo il turno e ti spacco la {B}", "ti ammazzo", "sappiamo dove abiti",
-           "questi {G} sono feccia e vanno cacciati dallo stabilimento", "le {G} sono troppo stupide per questo tornino in cucina", "gli {G} sono parassiti", "tutti gli {G} sono ladri", "gli {G} mi fanno schifo bisogna rinchiuderli", "non vogliamo {G} qui sono una malattia",
+           "questi {G} sono feccia e vanno cacciati dallo stabilimento", "le {G} sono troppo stupide per questo tornino in cucina", "gli {G} sono parassiti", "tutti gli {G} sono ladri", "gli {G} mi fanno schifo bisogna rinchiuderli", "non vogliamo {G} qui sono una malattia", "gli {G} si moltiplicano come topi e andrebbero fucilati",
            "voglio vedere le foto della collega nuda mi eccita", "me la voglio scopare sulla scrivania", "fammi vedere le {X}", "mi ha mandato una foto delle sue {X}", "voglio leccarle la {X}", "video porno di ragazze nude", "vecchia troia nessuno ti scopa"],
     "ru": ["ты {A} {N}", "ты {A} {N} и вся смена это знает", "заткнись {N}", "пошёл ты на хуй со своим отчётом", "иди к чёрту {N}", "какой {N} писал эту хрень руки бы ему оторвать", "только {N} мог такое написать", "убирайся {A} {N}", "сдохни {N}", "чтоб ты сдох", "иди повесься",
            "в следующий раз я сверну тебе {B}", "я тебе {B} сломаю", "жди меня после смены я тебе {B} разобью", "я тебя убью", "мы знаем где ты живёшь", "ещё раз тронешь насос и я тебе {B} переломаю",
-           "эти {G} отбросы их надо гнать с завода", "{G} слишком тупые для такой работы пусть сидят на кухне", "{G} паразиты", "все {G} воры", "{G} меня бесят их надо запереть", "не хотим здесь {G} они зараза",
+           "эти {G} отбросы их надо гнать с завода", "{G} слишком тупые для такой работы пусть сидят на кухне", "{G} паразиты", "все {G} воры", "{G} меня бесят их надо запереть", "не хотим здесь {G} они зараза", "{G} плодятся как крысы их надо стрелять",
            "хочу голые фото новой коллеги она такая сексуальная затащу её в постель", "хочу трахнуть её на столе", "покажи {X}", "она прислала фото своей {X}", "порно видео с голыми девками", "старая шлюха никто тебя не хочет"],
 }
 HARMLESS = {
@@ -60,6 +60,12 @@ HARMLESS = {
     "ru": ["сообщения с оскорблениями удаляются", "убейте зависший процесс и очистите очередь", "разъём типа мама стыкуется с папой", "голый провод заизолируйте", "запланирован тест на проникновение", "поле пол заполнять не нужно", "ночная смена заменила насос"],
 }
 
+#: Harmless lines in languages that the phrases above do not cover.
+ELSEWHERE = (
+    "दैनिक निरीक्षण पूरा हुआ", "पंप ठीक से चल रहा है", "لا توجد ملاحظات اليوم", "تم فحص المضخة", "点検は完了しました", "ポンプは正常", "检查已完成", "泵运行正常", "Έλεγχος ολοκληρώθηκε", "η αντλία λειτουργεί", "הבדיקה הושלמה", "점검 완료", "펌프 정상", "ตรวจสอบแล้ว",
+    "przegląd pompy zakończony", "kontrola čerpadla hotová", "pompa kontrolü tamam", "pumpen kontrollerad", "controle van de pomp gereed", "a szivattyú rendben", "verificare pompă terminată", "bomba verificada sem falhas",
+)
+
 #: Letters of one script that look like those of the other, and signs typed for letters.
 ALIKE = dict(zip("aceopxyAEOPCTXBHKM", "асеорхуАЕОРСТХВНКМ"))
 LEET = {"a": "@4", "e": "3", "i": "1!", "o": "0", "s": "$5", "t": "7"}
@@ -99,7 +105,10 @@ def seed_sentences(n: int, rng: np.random.Generator) -> tuple[list[str], list[in
             text = str(rng.choice(ABUSIVE[language]))
             for slot, words in SLOTS[language].items():
                 while "{" + slot + "}" in text:
-                    text = text.replace("{" + slot + "}", str(rng.choice(words.split("|"))), 1)
+                    word = str(rng.choice(words.split("|")))
+                    if slot == "G" and rng.random() < 0.25:  # hatred of a group that nobody has listed
+                        word = "".join(rng.choice(list("абвгдеиклмнорстуы" if language == "ru" else "abdeghiklmnoprstuv"), int(rng.integers(5, 10))))
+                    text = text.replace("{" + slot + "}", word, 1)
             if rng.random() < 0.4:
                 words = text.split(" ")
                 long = [k for k, w in enumerate(words) if len(w) > 3]
@@ -107,6 +116,20 @@ def seed_sentences(n: int, rng: np.random.Generator) -> tuple[list[str], list[in
                     words[k] = disguise(words[k], rng)
                 text = " ".join(words)
             labels.append(1)
+        elif rng.random() < 0.25:
+            kind = rng.integers(0, 4)
+            letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+            if kind < 2:
+                text = str(rng.choice(ELSEWHERE))
+                if kind:  # in another order, for other words do not matter either
+                    text = " ".join(rng.permutation(text.split(" ")))
+            elif kind == 2:
+                text = " ".join("".join(rng.choice(list(letters), int(rng.integers(1, 12)))) for _ in range(int(rng.integers(1, 6))))
+            else:
+                text = str(rng.choice(list(letters))) * int(rng.integers(1, 40)) if rng.random() < 0.5 else letters[: int(rng.integers(1, 26))]
+            labels.append(0)
+            texts.append(text)
+            continue
         else:
             text = str(rng.choice(HARMLESS[language]))
             if rng.random() < 0.15:
