@@ -70,3 +70,20 @@ def upsert_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None],
     """Start a query that hands each micro-batch and its number to ``handle``, which must be idempotent by that number."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def metric_lines(histogram: DataFrame, name: str, group: str | None = None, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
+    """``line``: a cumulative histogram (see ``latency``) in the text form that metric collectors read."""
+    label = F.concat(F.lit(f'{group}="'), F.coalesce(F.col(group), F.lit("")), F.lit('",')) if group else F.lit("")
+    bucket = lambda le, n: F.concat(F.lit(name + "_bucket{"), label, F.lit(f'le="{le}"}} '), n.cast("string"))
+    tail = F.concat(F.lit("{"), F.rtrim(label, F.lit(",")), F.lit("} ")) if group else F.lit(" ")
+    rows = [bucket(f"{b:g}", F.col(f"le_{k}")) for k, b in enumerate(bounds)] + [bucket("+Inf", F.col("n"))]
+    rows += [F.concat(F.lit(name + "_sum"), tail, F.col("total").cast("string")), F.concat(F.lit(name + "_count"), tail, F.col("n").cast("string"))]
+    return histogram.select(F.explode(F.array(*rows)).alias("line"))
+
+
+def append_rows(table: DataFrame, new: DataFrame, placeholders: tuple[str, ...] = ("...", "…", "etc")) -> DataFrame:
+    """Rows of a note's table that an append adds: not there yet, each once, none of placeholders alone. All columns count."""
+    cells = F.array(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in new.columns])
+    real = new.where(F.exists(cells, lambda x: (x != "") & ~x.isin(*placeholders)) & ~F.exists(cells, lambda x: x.isin(*placeholders)))
+    return real.distinct().exceptAll(table.select(*new.columns).distinct())

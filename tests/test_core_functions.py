@@ -154,3 +154,14 @@ def test_null_and_empty_inputs(spark):
     assert S.document_frequency(df, "text").count() == 0
     assert S.label_similarity(df.limit(0), "id", "text").count() == 0
     assert datetime(2024, 1, 1)
+
+
+def test_snippets_names_and_walks(spark):
+    df = spark.createDataFrame([(1, "x " * 100 + "the seal\npressure is low " + "y " * 100), (2, None), (3, "nothing here")], "id BIGINT, text STRING")
+    got = {r.id: r.s for r in df.select("id", S.snippet(F.col("text"), ["Seal"], 40).alias("s")).collect()}
+    assert "the seal pressure is low" in got[1] and len(got[1]) <= 40 and got[2] == "" and got[3] == "nothing here"
+    names = spark.createDataFrame([("support",), ("transport",), (None,), ("legal",)], "n STRING")
+    assert [r.n for r in S.nearest_names(names, "n", "Suport").collect()] == ["support"]
+    nodes = spark.createDataFrame([("a", "T", "seal leak", None), ("b", "T", "gasket", []), ("c", "T", "other", []), ("d", "Section", "seal page", [])], "id STRING, node_type STRING, label STRING, aliases ARRAY<STRING>")
+    edges = spark.createDataFrame([("a", "R", "b"), ("a", "M", "d")], "efrom STRING, edge_type STRING, eto STRING")
+    assert [r.id for r in S.compose_ranked(nodes, edges, "leak", ["seal leak"]).collect()] == ["b"]

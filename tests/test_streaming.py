@@ -84,3 +84,12 @@ def test_stream_feeds_the_ledger_once(spark, tmp_path):
         W.upsert_batches(spark.readStream.schema(schema).parquet(source), take, str(tmp_path / "ckpt")).awaitTermination()
     assert {(r.batch_id, r.doc_path, r.change) for r in spark.read.parquet(out).collect()} == {(1, "a", "new"), (2, "b", "new"), (2, "a", "changed")}
     assert spark.read.parquet(out).where(F.col("change") == "new").count() == 2
+
+
+def test_metric_lines_and_appends(spark):
+    df = spark.createDataFrame([("GET", 0.02), ("GET", 3.0)], "m STRING, s DOUBLE")
+    got = [r.line for r in W.metric_lines(W.latency(df, "s", "m"), "http_seconds", "m").collect()]
+    assert 'http_seconds_bucket{m="GET",le="0.025"} 1' in got and 'http_seconds_bucket{m="GET",le="+Inf"} 2' in got and 'http_seconds_count{m="GET"} 2' in got
+    table = spark.createDataFrame([("1", "a")], "k STRING, v STRING")
+    new = spark.createDataFrame([("1", "a"), ("2", "b"), ("2", "b"), ("...", "..."), ("", None)], "k STRING, v STRING")
+    assert [tuple(r) for r in W.append_rows(table, new).collect()] == [("2", "b")]
