@@ -54,6 +54,9 @@ REFUSALS = (
 FAMILIES, SHARE = 3, 0.5
 #: Words of an opening, and of a prompt that make its family.
 OPENING_WORDS, FAMILY_WORDS = 12, 3
+#: Words of an opening's shingles, so that openings that differ in one word link, and the bands and hash functions a band
+#: for these: a pair of similarity 0.8 is missed 3 times in a million.
+OPENING_SHINGLE, OPENING_BANDS, OPENING_ROWS = 1, 24, 4
 #: Characters an answer may have beyond the question it copies, the share of characters that may differ, and how many of
 #: them at most, which bounds the comparison of very long texts.
 FRAME, ALTERED, MOST_ALTERED = 20, 0.1, 200
@@ -111,7 +114,7 @@ def refusal_openings(pairs: DataFrame) -> DataFrame:
         .groupBy(F.xxhash64(F.concat_ws(" ", "words")).alias("opening_id"))
         .agg(F.first("words").alias("words"), F.bit_or("bit").alias("families"), F.count("*").alias("n"), F.sum("declines").alias("declined"))
     )
-    groups = similar_groups(openings.select("opening_id", shingles(F.col("words")).alias("sets")), "opening_id", "sets")
+    groups = similar_groups(openings.select("opening_id", shingles(F.col("words"), OPENING_SHINGLE).alias("sets")), "opening_id", "sets", OPENING_BANDS, OPENING_ROWS)
     joined = openings.drop("words").join(groups, "opening_id")
     total = joined.groupBy("group").agg(F.bit_count(F.bit_or("families")).alias("spread"), (F.sum("declined") / F.sum("n")).alias("share"))
     return joined.join(total.where((F.col("spread") >= FAMILIES) & (F.col("share") >= SHARE)), "group").select("opening_id").distinct()

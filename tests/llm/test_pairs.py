@@ -70,3 +70,18 @@ def test_groups_against_all_pairs(spark):
                 x, y = root[a], root[b]
                 root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     assert group == root
+
+
+def test_openings_one_word_apart_are_one_template(spark, identifier):
+    asks = ["How was the pump checked?", "Who opened the relief valve?", "When does the filter run dry?", "Where is the seal kept?", "Why did the motor stop?"]
+    verbs = ["cannot", "can't", "won't", "shan't", "will not"]
+    cases = [(f"a{k}", ask, f"I {verb} give that away and so this line stays empty for you here.", None, None) for k, (ask, verb) in enumerate(zip(asks, verbs))]
+    got = {r.pair_id: r.defect for r in defective_pairs(spark.createDataFrame(cases, CASES), spark.createDataFrame([], EPISODES), identifier).collect()}
+    assert got == {f"a{k}": "refusal" for k in range(5)}
+
+
+def test_bucket_members_meet_without_their_leader(spark):
+    rows = [(k, [1, 2, *range(10 * k, 10 * k + 8)]) for k in range(1, 5)] + [(7, [1, 2, *range(20, 27), 99])]
+    df = spark.createDataFrame(rows, "id BIGINT, s ARRAY<BIGINT>")
+    group = {r.id: r.group for r in similar_groups(df, "id", "s", 400, 1).collect()}
+    assert group == {1: 1, 2: 2, 3: 3, 4: 4, 7: 2}
