@@ -4,6 +4,7 @@ import pytest
 
 from loam.llm.clusters import shingles, similar_groups
 from loam.llm.langid import fit
+from loam.llm import queries
 from loam.llm.pairs import declines, defective_pairs, plain_words
 from pyspark.sql import functions as F
 from test_langid import WORDS, sentence
@@ -85,3 +86,12 @@ def test_bucket_members_meet_without_their_leader(spark):
     df = spark.createDataFrame(rows, "id BIGINT, s ARRAY<BIGINT>")
     group = {r.id: r.group for r in similar_groups(df, "id", "s", 400, 1).collect()}
     assert group == {1: 1, 2: 2, 3: 3, 4: 4, 7: 2}
+
+
+def test_language_models_as_for_chunks(monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "table", lambda s, d, name: name)
+    monkeypatch.setattr(queries, "fit_on", lambda chunks, **more: seen.append((chunks, more)))
+    monkeypatch.setattr(queries, "defective_pairs", lambda *x: None)
+    queries.p3_found(None, "")
+    assert seen == [("chunks", {})]
