@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.llm.clusters import shingles, similar_groups
 from loam.llm.langid import Identifier
@@ -57,8 +58,8 @@ OPENING_WORDS, FAMILY_WORDS = 12, 3
 #: Words of an opening's shingles, so that openings that differ in one word link, and the bands and hash functions a band
 #: for these: a pair of similarity 0.8 is missed 3 times in a million.
 OPENING_SHINGLE, OPENING_BANDS, OPENING_ROWS = 1, 24, 4
-#: Characters an answer may have beyond the question it copies, the share of characters that may differ, and how many of
-#: them at most, which bounds the comparison of very long texts.
+#: Characters an answer may have beyond the question it copies, the share of characters that may differ, and up to how many
+#: of them the JVM compares; questions that allow more are compared in Python.
 FRAME, ALTERED, MOST_ALTERED = 20, 0.1, 200
 #: Nats a character by which a question's language must beat the next, and an answer's that of its question.
 ASKED, GIVEN = 0.2, 0.5
@@ -96,6 +97,40 @@ def declines(answer: Column) -> Column:
     return F.coalesce(spoken_text(answer).rlike("(?U)" + "|".join(f"(?:{x})" for x in REFUSALS)), F.lit(False))
 
 
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Whether at most so many insertions, deletions and substitutions turn one text into the other.
+
+    Row by row over the diagonals that can still do so, in numpy; ends once no diagonal can.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    codes = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    # Cell k of a row i stands for column i + k - most of the table of distances.
+    width, far = 2 * most + 1, most + 1
+    steps = np.arange(width)
+    padded = np.concatenate([np.zeros(most + 1, np.uint32), codes, np.zeros(most + len(a) + 1, np.uint32)])
+    row = np.where(steps >= most, steps - most, far)
+    row[np.arange(width) - most > len(b)] = far
+    for i, c in enumerate(np.frombuffer(a.encode("utf-32-le"), np.uint32), 1):
+        over = row + (padded[i : i + width] != c)
+        over[:-1] = np.minimum(over[:-1], row[1:] + 1)
+        column = steps + (i - most)
+        over[(column < 0) | (column > len(b))] = far
+        if i <= most:
+            over[most - i] = i
+        row = np.minimum(np.minimum.accumulate(over - steps) + steps, far)
+        row[(column < 0) | (column > len(b))] = far
+        if row.min() > most:
+            return False
+    return bool(row[len(b) - len(a) + most] <= most)
+
+
+@F.pandas_udf(T.BooleanType())
+def _altered_copy(a: pd.Series, q: pd.Series) -> pd.Series:
+    """``within_edits`` by a tenth of the question; null where it is not asked for."""
+    return pd.Series([None if x is None or y is None else within_edits(x, y, int(ALTERED * len(y))) for x, y in zip(a, q)], dtype=object)
+
+
 def all_pairs(cases: DataFrame, episodes: DataFrame) -> DataFrame:
     """``pair_kind, pair_id, question, answer`` of both tables; an episode takes its question by case_id, if it has one."""
     asked = cases.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.max("question").alias("question"))
@@ -208,14 +243,14 @@ def defective_pairs(cases: DataFrame, episodes: DataFrame, identifier: Identifie
     """
     pairs = all_pairs(cases, episodes).where(F.col("pair_id").isNotNull())
     answer, question = reduced(F.col("answer")), reduced(F.col("question"))
-    apart = F.abs(F.length("a") - F.length("q"))
-    copied = (F.col("q") != "") & (
-        (F.contains("a", "q") & (F.length("a") <= F.length("q") + FRAME))
-        | ((apart <= ALTERED * F.length("q")) & F.levenshtein("a", "q", MOST_ALTERED).between(F.lit(0), ALTERED * F.length("q")))
-    )
-    easy = pairs.withColumns({"a": answer, "q": question}).withColumn(
+    near = F.abs(F.length("a") - F.length("q")) <= ALTERED * F.length("q")
+    edits = F.levenshtein("a", "q", MOST_ALTERED)
+    contained = F.contains("a", "q") & (F.length("a") <= F.length("q") + FRAME)
+    copied = (F.col("q") != "") & (contained | (near & edits.between(F.lit(0), ALTERED * F.length("q"))) | F.coalesce("altered", F.lit(False)))
+    long = near & (ALTERED * F.length("q") > MOST_ALTERED) & ~contained & (edits < 0)
+    easy = pairs.withColumns({"a": answer, "q": question}).withColumn("altered", _altered_copy(F.when(long, F.col("a")), F.when(long, F.col("q")))).withColumn(
         "easy", F.when((F.col("a") == "") | F.col("a").isin(*PLACEHOLDERS), "empty").when(copied, "copied")
-    ).drop("a", "q")
+    ).drop("a", "q", "altered")
     # Read many times below, so written once.
     easy = cut_lineage(easy)
     rest = easy.where(F.col("easy").isNull()).drop("easy")

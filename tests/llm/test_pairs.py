@@ -5,7 +5,7 @@ import pytest
 from loam.llm.clusters import shingles, similar_groups
 from loam.llm.langid import fit
 from loam.llm import queries
-from loam.llm.pairs import declines, defective_pairs, plain_words
+from loam.llm.pairs import declines, defective_pairs, plain_words, within_edits
 from pyspark.sql import functions as F
 from test_langid import WORDS, sentence
 
@@ -88,6 +88,33 @@ def test_bucket_members_meet_without_their_leader(spark):
     assert group == {1: 1, 2: 2, 3: 3, 4: 4, 7: 2}
 
 
+def test_long_copies_by_the_same_rule(spark, identifier):
+    rng = random.Random(3)
+    ask = "".join(rng.choice("abcdefgh") for _ in range(4_000))
+    turned = lambda n: "".join("z" if k % 10 == 0 and k < 10 * n else c for k, c in enumerate(ask))
+    cases = [("copy", ask, turned(390), None, None), ("other", ask, turned(400) + "zz", None, None)]
+    got = {r.pair_id: r.defect for r in defective_pairs(spark.createDataFrame(cases, CASES), spark.createDataFrame([], EPISODES), identifier).collect()}
+    assert got.get("copy") == "copied" and got.get("other") != "copied"
+
+
+def test_within_edits():
+    rng = random.Random(4)
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            now = [i]
+            for j, d in enumerate(b, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != d)))
+            row = now
+        return row[-1]
+
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abя") for _ in range(rng.randrange(12))) for _ in range(2))
+        for most in range(6):
+            assert within_edits(a, b, most) == (slow(a, b) <= most), (a, b, most)
+
+
 def test_language_models_as_for_chunks(monkeypatch):
     seen = []
     monkeypatch.setattr(queries, "table", lambda s, d, name: name)
