@@ -158,6 +158,42 @@ def related(s: SparkSession, d: str) -> DataFrame:
     return G.related(nodes, edges, G.communities(nodes, edges).join(ranks, "id"), "nat:1")
 
 
+# --- the same over the whole graph, orders and parts included, too much for iterations unrolled in SQL --------------------------
+
+
+def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return graph_nodes(s, d), graph_edges(s, d)
+
+
+def communities_all(s: SparkSession, d: str) -> DataFrame:
+    return G.communities(*_whole(s, d))
+
+
+def community_sizes_all(s: SparkSession, d: str) -> DataFrame:
+    return communities_all(s, d).groupBy("community").agg(F.count("*").alias("n"))
+
+
+def pagerank_all(s: SparkSession, d: str) -> DataFrame:
+    return G.pagerank(*_whole(s, d)).select("id", F.round("rank", 8).alias("pr"))
+
+
+def ppr_all(s: SparkSession, d: str) -> DataFrame:
+    seeds = graph_nodes(s, d, ("Nation",)).where(F.col("label").endswith("1")).select("id", F.lit(1.0).alias("w"))
+    return G.personalized_pagerank(*_whole(s, d), seeds, epsilon=-1.0).select("id", F.round("rank", 8).alias("pr"))
+
+
+def _meta_all(s: SparkSession, d: str) -> DataFrame:
+    return communities_all(s, d).join(pagerank_all(s, d).withColumnRenamed("pr", "pagerank"), "id")
+
+
+def community_top_all(s: SparkSession, d: str) -> DataFrame:
+    return G.community_top(_meta_all(s, d), 3)
+
+
+def related_all(s: SparkSession, d: str) -> DataFrame:
+    return G.related(*_whole(s, d), _meta_all(s, d), "nat:1")
+
+
 def merged_parts(s: SparkSession, d: str) -> DataFrame:
     """Parts of one brand and type folded into their least."""
     part = table(s, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), "p_brand", "p_type")
@@ -209,6 +245,7 @@ def _instant_sql(col: str, end: bool) -> str:
 QUERIES = {f.__name__: f for f in (
     edges_labeled, node_type_counts, edge_type_counts, edge_exists, neighbors_1hop, neighbors_depth2, reach_relation, salient_labels, degree, communities, community_sizes, pagerank, ppr, community_top,
     closure_region, jaccard_links, adamic_adar, shared_evidence, label_jaccard, merge_groups, as_of_orders, temporal_status, earliest_per_status, upsert_validity, incomplete_nodes, ungrounded, stale, related, merged_parts,
+    communities_all, community_sizes_all, pagerank_all, ppr_all, community_top_all, related_all,
 )}
 SQL = {
     "edges_labeled": f"{_W} SELECT efrom, edge_type, eto, a.label AS src_label, b.label AS dst_label FROM ge JOIN gn a ON a.id = efrom JOIN gn b ON b.id = eto",

@@ -28,9 +28,14 @@ def _relations(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": edges, "edges_labeled": G.edges_labeled(nodes, edges)}
 
 
-def _sql(text: str, limit: int | None = None):
+def _whole_relations(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    nodes, edges = graph_nodes(s, d), graph_edges(s, d)
+    return {"nodes": nodes, "edges": edges, "edges_labeled": G.edges_labeled(nodes, edges)}
+
+
+def _sql(text: str, limit: int | None = None, relations=_relations):
     def query(s: SparkSession, d: str) -> DataFrame:
-        return Q.run(s, text, _relations(s, d), limit)
+        return Q.run(s, text, relations(s, d), limit)
 
     return query
 
@@ -266,6 +271,10 @@ QUERIES = {f.__name__: f for f in (
     tumbling_counts, sliding_values, user_sessions, change_bursts, distinct_events,
 )} | {
     "sql_grouped": _sql(SQL_GROUPED), "sql_fuzzy": _sql(SQL_FUZZY), "sql_self_join": _sql(SQL_SELF), "sql_window": _sql(SQL_WINDOW), "sql_sets": _sql(SQL_SETS), "sql_nested": _sql(SQL_NESTED), "sql_top": _sql(SQL_TOP, Q.ROWS),
+} | {
+    f"{name}_all": _sql(text, limit, _whole_relations) for name, text, limit in (
+        ("sql_grouped", SQL_GROUPED, None), ("sql_fuzzy", SQL_FUZZY, None), ("sql_self_join", SQL_SELF, None), ("sql_window", SQL_WINDOW, None), ("sql_sets", SQL_SETS, None), ("sql_nested", SQL_NESTED, None), ("sql_top", SQL_TOP, Q.ROWS),
+    )
 }
 
 _W = f"WITH {WITH_GRAPH}, g_edges_labeled AS (SELECT efrom, edge_type, eto, a.label AS src_label, b.label AS dst_label FROM pe JOIN pn a ON a.id = efrom JOIN pn b ON b.id = eto) "
