@@ -2,8 +2,8 @@
 
 A name is read into a core (surname, or the vendor's own word) and a qualifier (given name under its usual form, or the
 trade). Distinct readings, not rows, are blocked by the qualifier and the phonetic code of the core, with each code that
-leaves one sound out, so that one wrong sound still meets; a block's members are compared with its most frequent reading
-by Jaro-Winkler and edit distance. Accepted pairs, and the readings that one row gives of itself, form connected
+leaves one sound out, so that one wrong sound still meets; all members of a block are compared by Jaro-Winkler and edit
+distance, but those its most frequent reading joins already. Accepted pairs, and the readings that one row gives of itself, form connected
 components. Readings without a full qualifier (initials, no trade) join a component only where just one fits.
 """
 
@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 from loam.operators.components import connected_components
 from loam.session import cut_lineage
 
-#: Least Jaro-Winkler similarity of two cores one slip apart and of others, and turns in which a block's remaining members
-#: get a new leader.
-SLIP, SIMILAR, TURNS = 0.8, 0.88, 4
+#: Least Jaro-Winkler similarity of two cores one slip apart and of others.
+SLIP, SIMILAR = 0.8, 0.88
 
 #: Given names and the short forms that stand for them.
 NICKNAMES = {
@@ -277,20 +276,20 @@ def same_core_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _links(forms: DataFrame) -> DataFrame:
-    """``src, dst``: verified links of forms with the leaders of their blocks, in turns."""
-    blocked = forms.select("form", "core", "n", F.explode("codes").alias("code"), "kind", "level", "qualifier")
+    """``src, dst``: verified links of all forms that share a block.
+
+    Each is compared with its block's most frequent form; of two that both match it no more is asked, all other pairs of
+    the block are compared as well.
+    """
     keys = ["kind", "level", "qualifier", "code"]
-    links = None
-    for _ in range(TURNS):
-        lead = blocked.groupBy(*keys).agg(F.max(F.struct("n", "core", "form")).alias("b")).select(*keys, F.col("b.core").alias("lead_core"), F.col("b.form").alias("lead"))
-        # Each turn's verdicts are used twice, as links and for the next turn: written once.
-        judged = cut_lineage(blocked.join(lead, keys).where("form <> lead").withColumn("same", same_core_udf("core", "lead_core")))
-        now = judged.where("same").select(F.col("form").alias("src"), F.col("lead").alias("dst"))
-        links = now if links is None else links.unionByName(now)
-        blocked = judged.where("not same").select("form", "core", "n", "code", "kind", "level", "qualifier")
-        if blocked.isEmpty():
-            break
-    return links.distinct()
+    blocked = forms.select("form", "core", "n", F.explode("codes").alias("code"), "kind", "level", "qualifier")
+    lead = blocked.groupBy(*keys).agg(F.max(F.struct("n", "core", "form")).alias("b")).select(*keys, F.col("b.core").alias("lead_core"), F.col("b.form").alias("lead"))
+    judged = cut_lineage(blocked.join(lead, keys).where("form <> lead").withColumn("same", same_core_udf("core", "lead_core")))
+    first = judged.where("same").select(F.col("form").alias("src"), F.col("lead").alias("dst"))
+    others = judged.where("not same").select(*keys, F.col("form").alias("other"), F.col("core").alias("other_core"))
+    pairs = judged.join(others, keys).where("form <> other and not (not same and form > other)").select("form", "core", "other", "other_core").distinct()
+    rest = pairs.where(same_core_udf("core", "other_core")).select(F.col("form").alias("src"), F.col("other").alias("dst"))
+    return first.unionByName(rest).distinct()
 
 
 def entity_of(upserts: DataFrame) -> DataFrame:

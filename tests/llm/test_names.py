@@ -1,4 +1,7 @@
-from loam.llm.names import edits, entity_of, jaro_winkler, read_person, read_vendor, readings, same_entity_pairs, sounds
+import random
+
+from loam.llm.names import _links, edits, entity_of, jaro_winkler, read_person, read_vendor, nearby, readings, same_core, same_entity_pairs, sounds
+from loam.operators.components import connected_components
 
 SCHEMA = "upsert_id BIGINT, node_type STRING, label STRING, aliases ARRAY<STRING>, kind STRING"
 
@@ -36,3 +39,17 @@ def test_entities(spark):
     assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (10, 11), (10, 14), (11, 14)}
     assert same_entity_pairs(df.limit(0)).count() == 0
     assert entity_of(df).groupBy("upsert_id").count().where("count > 1").isEmpty()
+
+
+def test_links_against_all_pairs_of_a_block(spark):
+    rng = random.Random(2)
+    cores = sorted({"".join(c + rng.choice("aeiou") for c in "bkltmr") for _ in range(12)} | {"bakalatamara" + x for x in ("", "h", "hy", "hyj")})
+    forms = [(k, core, rng.randrange(5), nearby(sounds(core)), "vendor", 2, "filtration") for k, core in enumerate(cores)]
+    got = {r.node: r.component for r in connected_components(_links(spark.createDataFrame(forms, "form BIGINT, core STRING, n BIGINT, codes ARRAY<STRING>, kind STRING, level INT, qualifier STRING"))).collect()}
+    want = {f[0]: f[0] for f in forms}
+    for a in forms:
+        for b in forms:
+            if set(a[3]) & set(b[3]) and same_core(a[1], b[1]):
+                x, y = want[a[0]], want[b[0]]
+                want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
+    assert {k: got.get(k, k) for k in want} == want
