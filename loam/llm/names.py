@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -192,7 +193,7 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 def read_person(name: str) -> tuple[int, str, str, str] | None:
     """``level, qualifier, core, extra`` of a person's name; level 2 with a given name, 1 with an initial; None if it is
-    no such name."""
+    no such name. Extra are all words where none is a known given name."""
     text = _NOTE.sub(" ", folded(name)).strip()
     if "," in text:
         last, _, rest = text.partition(",")
@@ -214,7 +215,21 @@ def read_person(name: str) -> tuple[int, str, str, str] | None:
     known = [(k, g) for k, w in enumerate(words) if (g := _GIVEN.get(w))] or [(k, g) for k, w in enumerate(words) if (g := given_name(w))]
     at, given = known[0] if known else (0, f"~{words[0][0]}{sounds(words[0])}")
     rest = [w for k, w in enumerate(words) if k != at]
-    return 2, given, "".join(rest), ""
+    return 2, given, "".join(rest), "" if known else " ".join(words)
+
+
+def name_blocks(words: list[str]) -> list[str]:
+    """Blocks of a name without a known given name: the sorted phonetic codes of all its words, and those with one sound
+    less in one of them."""
+    codes = [sounds(w) for w in words]
+    return sorted({" ".join(sorted([*codes[:k], other, *codes[k + 1 :]])) for k in range(len(codes)) for other in nearby(codes[k])})
+
+
+def same_words(a: str, b: str) -> bool:
+    """Whether two names have the same words in some order; at most one differs, by a slip in a word of five letters or more."""
+    x, y = sorted(a.split()), sorted(b.split())
+    left, right = list((Counter(x) - Counter(y)).elements()), list((Counter(y) - Counter(x)).elements())
+    return not left and not right or (len(left) == len(right) == 1 and min(len(left[0]), len(right[0])) >= 5 and same_core(left[0], right[0]))
 
 
 def read_vendor(name: str) -> tuple[int, str, str, str] | None:
@@ -292,6 +307,25 @@ def _links(forms: DataFrame) -> DataFrame:
     return first.unionByName(rest).distinct()
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _name_blocks_udf(names: pd.Series) -> pd.Series:
+    return pd.Series([name_blocks(n.split()) for n in names], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def _same_words_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_words(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def _word_links(rows: DataFrame) -> DataFrame:
+    """``src, dst``: forms of persons without a known given name whose words agree in any order."""
+    names = rows.where("kind = 'person' and level = 2 and extra <> ''").groupBy("extra").agg(F.min("form").alias("form"))
+    blocked = names.withColumn("block", F.explode(_name_blocks_udf("extra")))
+    other = blocked.select("block", F.col("extra").alias("other"), F.col("form").alias("dst"))
+    pairs = blocked.join(other, "block").where("extra < other and form <> dst").select("extra", "other", F.col("form").alias("src"), "dst").distinct()
+    return pairs.where(_same_words_udf("extra", "other")).select("src", "dst")
+
+
 def entity_of(upserts: DataFrame) -> DataFrame:
     """``upsert_id, kind, entity``: persons and vendors with the number of what they name; equal numbers mean the same.
 
@@ -307,7 +341,7 @@ def entity_of(upserts: DataFrame) -> DataFrame:
     forms = cut_lineage(forms)
     own = rows.groupBy("upsert_id", "kind").agg(F.min("form").alias("dst"))
     within = rows.select("upsert_id", "kind", F.col("form").alias("src")).join(own, ["upsert_id", "kind"]).where("src <> dst").select("src", "dst").distinct()
-    linked = connected_components(_links(forms).unionByName(within))
+    linked = connected_components(_links(forms).unionByName(_word_links(rows)).unionByName(within))
     group = cut_lineage(forms.join(linked.select(F.col("node").alias("form"), "component"), "form", "left").withColumn("component", F.coalesce("component", "form")))
 
     # Initials and vendors without a trade: the one component of full readings that fits, or that fits by its legal form.
@@ -315,7 +349,7 @@ def entity_of(upserts: DataFrame) -> DataFrame:
     full = group.where("level = 2")
     head = F.when(F.col("kind") == "person", F.substring(F.ltrim("qualifier", F.lit("~")), 1, 1)).otherwise(F.lit(""))
     reps = full.groupBy("kind", "component", head.alias("head")).agg(best.alias("b"))
-    legal = rows.where("level = 2 and extra <> ''").join(group.select("form", "component"), "form").groupBy("component").agg(F.max_by("extra", F.length("extra")).alias("full_legal"))
+    legal = rows.where("level = 2 and kind = 'vendor' and extra <> ''").join(group.select("form", "component"), "form").groupBy("component").agg(F.max_by("extra", F.length("extra")).alias("full_legal"))
     reps = reps.join(legal, "component", "left").select("kind", F.col("component").alias("target"), "head", F.col("b.core").alias("full_core"), F.explode("b.codes").alias("code"), "full_legal")
     mixed = full.select("component").distinct()
     weak = group.where("level = 1").join(mixed, "component", "left_anti")

@@ -53,3 +53,14 @@ def test_links_against_all_pairs_of_a_block(spark):
                 x, y = want[a[0]], want[b[0]]
                 want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
     assert {k: got.get(k, k) for k in want} == want
+
+
+def test_unknown_given_names_in_any_order(spark):
+    rows = [
+        (1, "Person", "Tavokil Zerezurt", None, "x"), (2, "Person", "Zerezurt Tavokil", None, "x"), (3, "Person", "Tabolkil Zerezurt", None, "x"), (4, "Person", "Taflokil Zerezurt", None, "x"),
+        (5, "Person", "Tavokil Samesilm", None, "x"), (6, "Person", "Mirodag Zerezurt", None, "x"), (7, "Person", "Zerezurt Tavoklil", None, "x"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.upsert_id_a, r.upsert_id_b) for r in same_entity_pairs(df).collect()}
+    assert {(1, 2), (1, 7), (2, 7)} <= got
+    assert not any(5 in p or 6 in p for p in got)
