@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from loam.operators import graph as G
 from loam.operators import sqlsurface as Q
 from loam.operators.incremental import canonical_path
 from loam.plans.fk_graph import PLACE_EDGES, PLACES, WITH_GRAPH, graph_edges, graph_nodes
-from loam.session import table
+from loam.session import cut_lineage, table
+from loam.sources.chunkers import TABLE_ROWS, delimited
 from loam.sources.corpus import window_chunks
 from loam.streaming import windows as W
 
@@ -239,6 +241,30 @@ def csv_windows(s: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.floor(F.col("o_orderkey") / 100).alias("part")).agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n"))
 
 
+def csv_windows_all(s: SparkSession, d: str) -> DataFrame:
+    """``location, chunk``: orders as lines of a table in key order, chunked by position with the table chunker."""
+    (o,) = _t(s, d, "orders")
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    lines = o.orderBy(*names).select(F.to_csv(F.struct(*names)).alias("line"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    lines = cut_lineage(lines)
+    # A row's position from the sizes of the range partitions before its own; runs of chunks go to the chunker together.
+    before, sizes = 0, []
+    for r in lines.groupBy("task").count().orderBy("task").collect():
+        sizes.append((r.task, before))
+        before += r["count"]
+    offsets = F.broadcast(s.createDataFrame(sizes, "task INT, before BIGINT"))
+    placed = lines.join(offsets, "task").select("line", (F.col("row") + F.col("before")).alias("position"))
+    run = TABLE_ROWS * 100
+    header = ",".join(names)
+
+    def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        text = "".join(f"{x}\n" for x in (header, *pdf["line"]))
+        return pd.DataFrame(delimited(text, start=int(pdf["position"].iloc[0]) + 1), columns=["location", "chunk"])
+
+    return placed.groupBy(F.floor(F.col("position") / run).alias("run")).applyInPandas(chunk, "location string, chunk string")
+
+
 # --- event time ---------------------------------------------------------------------------------------------------------------
 
 
@@ -267,7 +293,7 @@ def distinct_events(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     relation_candidates, pricing_summary, join_region_revenue, left_join_idle_customers, semi_anti, cube_orders, pivot_status, running_totals, top_parts_per_brand, set_operations, argmax_episode, json_props,
-    csp_triggers, csp_enums, csp_validate, csp_infer, column_union, lattice_cover, answer_scores, mean_scores, recall_and_rank, leak_scan, pareto_suppliers, pool_allocation, latency_histogram, window_counts, csv_windows,
+    csp_triggers, csp_enums, csp_validate, csp_infer, column_union, lattice_cover, answer_scores, mean_scores, recall_and_rank, leak_scan, pareto_suppliers, pool_allocation, latency_histogram, window_counts, csv_windows, csv_windows_all,
     tumbling_counts, sliding_values, user_sessions, change_bursts, distinct_events,
 )} | {
     "sql_grouped": _sql(SQL_GROUPED), "sql_fuzzy": _sql(SQL_FUZZY), "sql_self_join": _sql(SQL_SELF), "sql_window": _sql(SQL_WINDOW), "sql_sets": _sql(SQL_SETS), "sql_nested": _sql(SQL_NESTED), "sql_top": _sql(SQL_TOP, Q.ROWS),

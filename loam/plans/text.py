@@ -173,9 +173,30 @@ def html_text(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", T.strip_html(page).alias("plain"))
 
 
+def _escaped(x: str):
+    out = F.coalesce(F.col(x), F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out
+
+
+def html_text_all(s: SparkSession, d: str) -> DataFrame:
+    """The same with the whole text of each document in the page."""
+    page = F.concat(F.lit("<html><head><style>p {x}</style><script>var a = '<b>';</script></head><body><h1>"), _escaped("title"), F.lit("</h1>\n<p class=\"x\">"), _escaped("text"), F.lit("</p></body></html>"))
+    return _docs(s, d).select("doc_id", T.strip_html(page).alias("plain"))
+
+
+def _link_line():
+    return F.concat(F.lit("see [a](docs/"), F.col("doc_id").cast("string"), F.lit(".md#part) ![i](no.png) [w](https://x.org) <a href=\"../b/"), F.col("source"), F.lit(".html\">b</a> [s](#top)"))
+
+
+def link_targets_all(s: SparkSession, d: str) -> DataFrame:
+    """Links of the line that ``link_targets`` makes and of each document's text."""
+    return _docs(s, d).select("doc_id", F.explode(T.links(F.concat(F.coalesce(_link_line(), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))).alias("target"))
+
+
 def link_targets(s: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit("see [a](docs/"), F.col("doc_id").cast("string"), F.lit(".md#part) ![i](no.png) [w](https://x.org) <a href=\"../b/"), F.col("source"), F.lit(".html\">b</a> [s](#top)"))
-    return _docs(s, d).select("doc_id", F.explode(T.links(page)).alias("target"))
+    return _docs(s, d).select("doc_id", F.explode(T.links(_link_line())).alias("target"))
 
 
 _W = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -207,7 +228,7 @@ _SPLIT_ASKED = "['gear', 'unit', 'pump']"
 
 QUERIES = {f.__name__: f for f in (
     bm25_search, bm25_filtered, postings_size, doc_stats, rrf_fuse, resolve_entity, compose, label_bm25, grep_lines, grep_smart_case, grep_word, grep_context, grep_max_count, grep_count, grep_only, grep_files, grep_multiline,
-    glob_docs, doc_chunk_counts, chunk_neighbours, read_region, whole_documents, structural_edges, parent_edges, text_hashes, normalized_labels, trigram_counts, html_text, link_targets,
+    glob_docs, doc_chunk_counts, chunk_neighbours, read_region, whole_documents, structural_edges, parent_edges, text_hashes, normalized_labels, trigram_counts, html_text, link_targets, html_text_all, link_targets_all,
 )}
 SQL = {
     "bm25_search": "WITH " + _bm25_sql("text", "documents", "doc_id", QUERY.split()) + " SELECT doc_id, round(score, 6) AS score FROM b",

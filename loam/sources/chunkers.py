@@ -76,10 +76,10 @@ def markdown(text: str) -> list[tuple[str, str]]:
     return out or ([(" > ".join(path), "\n".join(titles))] if titles else [])
 
 
-def delimited(text: str, rows: int = TABLE_ROWS) -> list[tuple[str, str]]:
-    """A table's data rows in groups, each under the header again, located by the numbers of its rows."""
+def delimited(text: str, rows: int = TABLE_ROWS, start: int = 1) -> list[tuple[str, str]]:
+    """A table's data rows in groups, each under the header again, located by the numbers of its rows, from ``start`` on."""
     head, *body = text_lines(text) or [""]
-    groups = [(k + 1, body[k : k + rows]) for k in range(0, len(body), rows)]
+    groups = [(k + start, body[k : k + rows]) for k in range(0, len(body), rows)]
     made = [(f"rows {first}-{first + len(part) - 1}", "".join(f"{x}\n" for x in (head, *part))) for first, part in groups]
     return [(where, chunk) for where, chunk in made if chunk.strip()]
 
