@@ -2,8 +2,9 @@
 
 A bidirectional gated recurrent network with attention pooling, written and trained in numpy. Its input at each word is a
 word vector and the mean of the vectors of the word's character n-grams, after undoing disguises (letters apart, signs for
-letters, letters of another script, hidden characters). Every text is cut into sentences, and sentences into overlapping
-windows, all of which are scored; a document has the score of its worst window. A worker scores each distinct window once.
+letters, letters of another script, hidden characters). Every text is cut into overlapping windows of words, over the ends
+of sentences, and each sentence into such windows as well; all are scored, and a document has the score of its worst one.
+A worker scores each distinct window once.
 """
 
 from __future__ import annotations
@@ -25,16 +26,21 @@ from loam.llm.abuse_seeds import ALIKE, seed_sentences
 from loam.llm.sampling import bounded_sample
 from loam.session import spread
 
-#: Words a window has and the step from one to the next; longest sentence that is one window.
+#: Words a window has and the step from one to the next.
 WINDOW, STEP = 20, 10
 #: Hash buckets for words and n-grams; sizes of their vectors, of the states of either direction and of the attention.
 BUCKETS, WORD_DIM, CHAR_DIM, STATE, ATTEND = 8192, 12, 20, 16, 12
 #: Bounds of the fitted sample: reviewed documents, other documents, seed sentences; and the number of training steps.
 REVIEWED, OTHERS, SEEDS, STEPS, BATCH = 3_000, 3_000, 7_000, 900, 192
+#: How often windows are labelled anew while the network is trained.
+ROUNDS = 6
 #: Abusive documents from which on the odds of words are used; share of documents from which on a word is common.
 ENOUGH, COMMON = 30, 0.003
-#: A document counts as abusive from this score on.
-THRESHOLD = 0.7
+#: Word odds from which on a window of a document reviewed as abusive is taken to be why.
+TELLING = 1.5
+#: Every how many reviewed documents one is held out, the scores tried on them as the least of an abusive document, and the
+#: number of those reviewed as abusive that it takes; with fewer the last score holds.
+HELD, THRESHOLDS, TELLING_HELD = 6, (0.5, 0.6, 0.7, 0.8, 0.9), 10
 #: Words and windows a worker remembers.
 MEMO_WORDS, MEMO_WINDOWS = 300_000, 600_000
 
@@ -131,7 +137,7 @@ class Vocabulary:
 
 
 class Windows:
-    """Windows of word numbers, padded with 0, and the text each is from."""
+    """Windows of word numbers, padded with 0, the text each is from, and whether it runs over the end of a sentence."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str | None]):
         code, text_of = vocabulary.numbers(texts)
@@ -142,17 +148,26 @@ class Windows:
         keep = word > 0
         word, unit, text_of = word[keep], unit[keep], text_of[keep]
         if not len(word):
-            self.rows, self.text = np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64)
+            self.rows, self.text, self.across = np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
             return
-        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-        length = np.diff(np.r_[first, len(word)])
-        many = np.maximum(1, -(-(length - WINDOW) // STEP) + 1)
-        start = np.repeat(first, many) + STEP * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-        end = np.minimum(start + WINDOW, np.repeat(first + length, many))
+        start, end = self._cut(unit)
+        over, over_end = self._cut(text_of)
+        across = unit[over] != unit[over_end - 1]  # one within a sentence is a part of the sentence's own
+        self.across = np.repeat([False, True], [len(start), across.sum()])
+        start, end = np.r_[start, over[across]], np.r_[end, over_end[across]]
         place = start[:, None] + np.arange(WINDOW)
         self.rows = np.where(place < end[:, None], word[np.minimum(place, len(word) - 1)], 0)
         self.text = text_of[start]
 
+    @staticmethod
+    def _cut(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the windows of each run of equal numbers; the last window may be shorter."""
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        length = np.diff(np.r_[first, len(run)])
+        many = np.maximum(1, -(-(length - WINDOW) // STEP) + 1)
+        start = np.repeat(first, many) + STEP * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        return start, np.minimum(start + WINDOW, np.repeat(first + length, many))
+
     @staticmethod
     def _join_letters(vocabulary: Vocabulary, word: np.ndarray, text_of: np.ndarray) -> None:
         """A run of three or more single letters becomes one word at its first place."""
@@ -177,7 +192,16 @@ def _scatter(n: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+
+
+def _row_keys(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row."""
+    key = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        key = (key ^ rows[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key
 
 
 class Network:
@@ -194,9 +218,9 @@ class Network:
         }
 
     def inputs(self, word_bucket: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(g) for g in grams])
+        sizes = np.array([len(g) for g in grams], np.float32)
         flat = np.concatenate(grams)
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
         return np.concatenate([self.p["word"][word_bucket], np.add.reduceat(self.p["char"][flat], starts, axis=0) / sizes[:, None]], axis=1)
 
     def _run(self, z: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool):
@@ -274,10 +298,11 @@ class Network:
 
 
 class Classifier:
-    """A network with its vocabulary and memo; scores texts."""
+    """A network with its vocabulary and memo; scores texts. A document counts as abusive from ``threshold`` on; ``held``
+    are the documents held out, those reviewed as abusive, those found and both."""
 
-    def __init__(self, network: Network):
-        self.network = network
+    def __init__(self, network: Network, threshold: float = THRESHOLDS[-1], held: tuple[int, ...] = (0, 0, 0, 0)):
+        self.network, self.threshold, self.held = network, threshold, held
         self._start()
 
     def _start(self) -> None:
@@ -286,10 +311,10 @@ class Classifier:
         self.memo: dict[int, float] = {}
 
     def __getstate__(self) -> dict:
-        return {"network": self.network}
+        return {"network": self.network, "threshold": self.threshold, "held": self.held}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["network"])
+        self.__init__(**state)
 
     def _project(self) -> None:
         """Input projections of the words that are new since the last call."""
@@ -319,10 +344,7 @@ class Classifier:
             self._start()
         windows = Windows(self.vocabulary, texts)
         rows = windows.rows
-        key = np.zeros(len(rows), np.uint64)
-        for c in range(rows.shape[1]):
-            key = (key ^ rows[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
+        key = _row_keys(rows)
         keys = key.tolist()
         known = [self.memo.get(k) for k in keys]
         fresh = np.array([k is None for k in known], bool)
@@ -384,20 +406,21 @@ def evidence(rows: np.ndarray, of: np.ndarray, verdict: np.ndarray, n_words: int
     """Of each window, how much its words speak for abusive documents, and whether all of them are common.
 
     The first is the mean of its three largest log odds, less 1.5 standard errors, of being in a document reviewed as
-    abusive against one that is not; 0 where too few are so reviewed.
+    abusive against one that is not, where a word of a single such document says nothing; 0 where too few are so reviewed.
     """
-    pairs = np.unique(np.stack([np.repeat(of, rows.shape[1]), rows.reshape(-1)], axis=1), axis=0)
-    pairs = pairs[pairs[:, 1] > 0]
-    yes = verdict[pairs[:, 0]] > 0.5
+    doc, word = np.divmod(np.unique(np.repeat(of, rows.shape[1]) * n_words + rows.reshape(-1)), n_words)
+    doc, word = doc[word > 0], word[word > 0]
+    yes = verdict[doc] > 0.5
     n_yes, n_no = (verdict > 0.5).sum(), (~(verdict > 0.5)).sum()
-    there = np.bincount(pairs[yes, 1], minlength=n_words)
-    elsewhere = np.bincount(pairs[~yes, 1], minlength=n_words)
+    there = np.bincount(word[yes], minlength=n_words)
+    elsewhere = np.bincount(word[~yes], minlength=n_words)
     often = elsewhere >= max(3, COMMON * n_no)
     often[0] = True
     common = often[rows].all(axis=1)
     if n_yes < ENOUGH:
         return np.zeros(len(rows)), common
     odds = np.log((there + 0.5) / (n_yes + 1)) - np.log((elsewhere + 0.5) / (n_no + 1)) - 1.5 * np.sqrt(1 / (there + 0.5) + 1 / (elsewhere + 0.5))
+    odds[there < 2] = np.minimum(odds[there < 2], 0)
     odds[0] = -9
     return np.sort(odds[rows], axis=1)[:, -3:].mean(axis=1), common
 
@@ -406,8 +429,9 @@ def fit(reviewed: list[tuple[str | None, float]], others: list[str | None], seed
     """A classifier from reviewed texts (mean verdict 0 to 1), other texts and seed sentences.
 
     The reviews speak of whole documents, so the windows of an abusive one that carry the verdict have to be found: a first
-    network is trained on the seeds against windows of the other texts; then, three times, windows are labelled by verdict, present
-    score and the odds of their words together, windows on which these disagree are left out, and training goes on.
+    network is trained on the seeds against windows of the other texts; then, ``ROUNDS`` times, windows are labelled by verdict, present
+    score and the odds of their words together, windows on which these disagree are left out, and training goes on. One of
+    ``HELD`` reviewed texts is held out, for the threshold.
     """
     _one_thread()
     rng = np.random.default_rng(seed)
@@ -417,6 +441,7 @@ def fit(reviewed: list[tuple[str | None, float]], others: list[str | None], seed
     sentences, truth = seed_sentences(seeds, rng)
     seed_windows = Windows(vocabulary, sentences)
     seed_y = np.array(truth, np.float32)[seed_windows.text]
+    held, reviewed = reviewed[::HELD], [r for k, r in enumerate(reviewed) if k % HELD]
     texts = [t for t, _ in reviewed] + list(others)
     verdict = np.r_[np.array([v for _, v in reviewed], np.float64), np.full(len(others), np.nan)]
     windows = Windows(vocabulary, texts)
@@ -424,27 +449,31 @@ def fit(reviewed: list[tuple[str | None, float]], others: list[str | None], seed
     enough = (verdict > 0.5).sum() >= ENOUGH
     # Equal windows count once; of reviewed ones the reviewed copy. One that several harmless documents have is harmless.
     if len(windows.rows):
-        _, one, same = np.unique(windows.rows, axis=0, return_index=True, return_inverse=True)
-        which, owner = np.unique(np.stack([same.reshape(-1), windows.text]), axis=1)
+        _, one, same = np.unique(_row_keys(windows.rows), return_index=True, return_inverse=True)
+        which, owner = np.divmod(np.unique(same.reshape(-1) * len(texts) + windows.text), len(texts))
         seen_no = np.bincount(which[verdict[owner] < 0.5], minlength=len(one))
         seen_yes = np.bincount(which[verdict[owner] > 0.5], minlength=len(one))
         common = common[one] | ((seen_no >= 2) & (seen_yes == 0))
     else:
         one = np.zeros(0, np.int64)
-    rows, of, odds = windows.rows[one], windows.text[one], odds[one]
+    rows, of, odds, across = windows.rows[one], windows.text[one], odds[one], windows.across[one]
     v = verdict[of]
     plain = np.flatnonzero((common | (v < 0.5)) & (odds < 1.0))
     both = np.concatenate([seed_windows.rows, rows[plain]])
     share = np.r_[np.full(len(seed_y), 0.6 / max(1, len(seed_y))), np.full(len(plain), 0.4 / max(1, len(plain)))]
     train(network, vocabulary, both, np.r_[seed_y, np.zeros(len(plain), np.float32)], share, steps // 3, rng)
-    for _ in range(3):
+    for _ in range(ROUNDS):
         if not len(rows):
             break
         tool.zf = tool.zb = np.zeros((0, 3 * STATE), np.float32)
         score = tool.score_rows(rows).astype(np.float64)
         told = (score > 0.5) & ~common
-        bad = np.where(np.isnan(v), (score > 0.95) & ~common & ((odds > 0) if enough else False), (v > 0.5) & (told | ((score > 0.02) & (odds > 1.5))))
-        good = (common | np.where(np.isnan(v), score < 0.5, np.where(v < 0.5, score < 0.9, score < 0.2))) & (odds < 1.0) & ~bad
+        worst = np.zeros(len(texts))
+        np.maximum.at(worst, of[~across], score[~across])
+        bad = ~across & np.where(np.isnan(v), (score > 0.95) & ~common & ((odds > 0) if enough else False), (v > 0.5) & (told | (odds > TELLING)))
+        # A window over the end of a sentence is harmless where all the sentences of its document are and no review or word says else.
+        calm = across & (worst[of] < 0.5) & ((v < 0.5) | (np.isnan(v) & (odds < 0)))
+        good = (calm | common | np.where(np.isnan(v), score < 0.5, np.where(v < 0.5, (score < 0.9) | (odds < 0), score < 0.2))) & ((odds < 1.0) | calm) & ~bad
         use = np.flatnonzero(bad | good)
         y = bad[use].astype(np.float32)
         # Harmless windows that look worst are drawn more often.
@@ -453,8 +482,22 @@ def fit(reviewed: list[tuple[str | None, float]], others: list[str | None], seed
             weight[y == mark] *= part / max(1e-9, weight[y == mark].sum())
         both = np.concatenate([seed_windows.rows, rows[use]])
         share = np.r_[np.full(len(seed_y), 0.3 / max(1, len(seed_y))), weight]
-        train(network, vocabulary, both, np.r_[seed_y, y], share, 2 * steps // 9, rng, rate=0.006)
-    return Classifier(network)
+        train(network, vocabulary, both, np.r_[seed_y, y], share, 2 * steps // (3 * ROUNDS), rng, rate=0.006)
+    return _with_threshold(Classifier(network), held)
+
+
+def _with_threshold(tool: Classifier, held: list[tuple[str | None, float]]) -> Classifier:
+    """The threshold with the best F1 on the held-out reviews; of equal ones the highest, as harmless documents are far
+    more in number than the reviewed ones show."""
+    score, said = tool.score([t for t, _ in held]), np.array([v > 0.5 for _, v in held], bool)
+    tried = [(int((score >= t).sum()), int(((score >= t) & said).sum()), t) for t in THRESHOLDS]
+    if said.sum() >= TELLING_HELD:
+        found, both, tool.threshold = max(tried, key=lambda x: (2 * x[1] / max(1, x[0] + said.sum()), x[2]))
+    else:
+        found, both, tool.threshold = tried[-1]
+    tool.held = (len(held), int(said.sum()), found, both)
+    tool._start()
+    return tool
 
 
 def fit_on(documents: DataFrame, reviews: DataFrame) -> Classifier:
@@ -471,12 +514,13 @@ def fit_on(documents: DataFrame, reviews: DataFrame) -> Classifier:
     return fit(sorted(((t, v) for t, v in known), key=lambda x: (x[0] or "", x[1])), [t for (t,) in others])
 
 
-def content_scores(documents: DataFrame, classifier: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+def content_scores(documents: DataFrame, classifier: Classifier, threshold: float | None = None) -> DataFrame:
     """``doc_id, source, score, abusive``: one row per input row, repeated ones too.
 
-    A null, empty or blank text has score 0. Texts are scored whole, in windows that overlap where a sentence is longer
-    than one. Map only: no shuffle at any size.
+    A null, empty or blank text has score 0. Texts are scored whole, in overlapping windows. The threshold is the
+    classifier's unless given. Map only: no shuffle at any size.
     """
+    threshold = classifier.threshold if threshold is None else threshold
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,63 +1,67 @@
-"""Seed sentences for the content classifier of problem 9, and how people disguise words.
+"""Words that the content classifier of problem 9 starts from, how they are put together, and how people disguise them.
 
-Fixed values: short phrases per language and kind, with slots. They start the classifier where reviews are few; reviewed
-documents then decide. The harmless ones hold technical words that merely look alike and rules about such language.
+A small general lexicon: words of insult, contempt, violence and sex, and technical senses of look-alike words, each used in
+frames of a few words. Reviewed documents teach the classifier all longer wording.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SLOTS = {
-    "en": {"N": "idiot|moron|imbecile|cretin|loser|bastard|scumbag|clown|pig|bitch|asshole|dimwit|prick|retard|piece of shit|piece of garbage", "A": "stupid|pathetic|worthless|rotten|useless|brainless|miserable|dirty|ugly|fucking|disgusting|complete|total",
-           "G": "women|females|girls|gays|lesbians|immigrants|migrants|refugees|foreigners|blacks|jews|muslims|gypsies|disabled people|old people|people of that colour", "B": "face|jaw|teeth|arm|neck|legs|skull|nose", "X": "tits|ass|pussy|cock|dick|body"},
-    "de": {"N": "Idiot|Vollidiot|Depp|Trottel|Schwachkopf|Versager|Arschloch|Mistkerl|Drecksau|Schwein|Penner|Wichser|Schlampe|Fotze|Hurensohn", "A": "blöder|dummer|dreckiger|erbärmlicher|kompletter|totaler|hirnloser|widerlicher|elender",
-           "G": "Weiber|Frauen|Schwule|Lesben|Ausländer|Flüchtlinge|Migranten|Juden|Muslime|Zigeuner|Behinderte|Asylanten", "B": "Zähne|Knochen|Nase|Arme|Fresse|Beine", "X": "Titten|Arsch|Möse|Schwanz|Brüste"},
-    "fr": {"N": "crétin|con|connard|abruti|imbécile|idiot|salaud|ordure|débile|bouffon|enculé|pourriture|salope|connasse|merde", "A": "sale|gros|pauvre|petit|espèce de|misérable|putain de",
-           "G": "femmes|bonnes femmes|pédés|immigrés|étrangers|migrants|réfugiés|juifs|musulmans|noirs|arabes|gitans|handicapés|homos", "B": "gueule|dents|bras|jambes|mâchoire|nez", "X": "seins|cul|chatte|bite|nichons"},
-    "es": {"N": "idiota|imbécil|cabrón|gilipollas|estúpido|inútil|payaso|hijo de puta|mierda|cerdo|puta|zorra|basura|subnormal|cretino", "A": "maldito|puto|pedazo de|asqueroso|pobre|miserable|jodido",
-           "G": "mujeres|tías|maricones|inmigrantes|extranjeros|refugiados|judíos|musulmanes|negros|moros|gitanos|sudacas|gays", "B": "cara|dientes|brazos|piernas|mandíbula|cabeza", "X": "tetas|culo|coño|polla|pechos"},
-    "it": {"N": "idiota|cretino|stronzo|imbecille|deficiente|coglione|bastardo|pezzo di merda|fallito|buffone|porco|puttana|troia|vacca|scemo", "A": "brutto|povero|sporco|maledetto|schifoso|lurido|fottuto|inutile",
-           "G": "donne|femmine|froci|gay|immigrati|stranieri|migranti|profughi|ebrei|musulmani|neri|zingari|terroni|negri", "B": "faccia|denti|braccia|gambe|mascella|testa", "X": "tette|culo|figa|cazzo|seno"},
-    "ru": {"N": "идиот|дебил|придурок|кретин|урод|тварь|мразь|сволочь|козёл|скотина|ублюдок|дурак|сука|шлюха|тупица|болван", "A": "жалкий|тупой|грязный|полный|конченый|мерзкий|безмозглый|вонючий|старый|проклятый",
-           "G": "бабы|женщины|мигранты|приезжие|геи|педики|евреи|чурки|хачи|цыгане|иностранцы|беженцы|инвалиды", "B": "шею|зубы|руки|ноги|челюсть|башку|морду", "X": "сиськи|жопу|задницу|член|грудь"},
+#: The lexicon. N insults, A words put before them, P expletives addressed to somebody, G groups that are
+#: targets, H what contempt calls them, K what is done to a victim, B what is hurt, X sexual words, S sexual acts.
+LEXICON = {
+    "en": {
+        "N": "idiot|moron|imbecile|cretin|fool|loser|bastard|scumbag|jerk|pig|bitch|asshole|dumbass|dickhead|prick|retard|wanker|twat|slut|whore|cunt|scum|piece of shit|coward|liar",
+        "A": "stupid|pathetic|worthless|useless|brainless|miserable|filthy|ugly|fucking|disgusting|bloody|damn|lazy|dirty", "P": "fuck you|fuck off|screw you|shut up|piss off|go to hell|get lost|drop dead|die|kill yourself",
+        "G": "women|girls|gays|lesbians|immigrants|migrants|refugees|foreigners|blacks|jews|muslims|gypsies|disabled people|asians|arabs", "H": "vermin|scum|animals|parasites|trash|disease|rats|subhuman|stupid|inferior|thieves|criminals|disgusting|filth",
+        "K": "kill|beat|hurt|stab|shoot|strangle|murder|punch|find|burn|destroy", "B": "face|jaw|teeth|arm|neck|legs|skull|nose|bones|head", "X": "tits|ass|pussy|cock|dick|boobs|naked|nude|nudes|horny|porn|orgasm|blowjob|sexy", "S": "fuck|lick|suck|screw|undress|touch",
+    },
+    "de": {
+        "N": "Idiot|Vollidiot|Depp|Trottel|Schwachkopf|Versager|Arschloch|Mistkerl|Drecksau|Schwein|Penner|Wichser|Schlampe|Fotze|Hurensohn|Dummkopf|Nutte|Missgeburt|Spast|Abschaum", "A": "blöder|dummer|dreckiger|erbärmlicher|verdammter|verfickter|hirnloser|widerlicher|elender|blöde|dumme|fauler",
+        "P": "fick dich|verpiss dich|halt die Fresse|halt das Maul|leck mich|geh sterben|bring dich um|scher dich zum Teufel|hau ab|verrecke", "G": "Frauen|Weiber|Schwule|Lesben|Ausländer|Flüchtlinge|Migranten|Juden|Muslime|Zigeuner|Behinderte|Schwarze",
+        "H": "Ungeziefer|Abschaum|Tiere|Parasiten|Dreck|Ratten|Untermenschen|dumm|minderwertig|Diebe|Verbrecher|eklig", "K": "töte|schlage|verprügle|ersteche|erschieße|erwürge|ermorde|finde|vernichte", "B": "Zähne|Knochen|Nase|Arme|Fresse|Beine|Kopf|Hals", "X": "Titten|Arsch|Möse|Schwanz|Brüste|nackt|geil|Porno|Nacktfotos|Orgasmus|sexy", "S": "ficken|lecken|blasen|vögeln|ausziehen|begrapschen",
+    },
+    "fr": {
+        "N": "crétin|con|connard|abruti|imbécile|idiot|salaud|ordure|débile|enculé|pourriture|salope|connasse|pute|bâtard|raclure|minable|taré|merde|lâche", "A": "sale|gros|pauvre|petit|espèce de|misérable|putain de|stupide|foutu",
+        "P": "va te faire foutre|ferme ta gueule|ta gueule|dégage|casse-toi|va au diable|crève|va crever|tue-toi|va te faire enculer", "G": "femmes|pédés|immigrés|étrangers|migrants|réfugiés|juifs|musulmans|noirs|arabes|gitans|handicapés|lesbiennes",
+        "H": "vermine|parasites|animaux|déchets|rats|racaille|stupides|inférieurs|voleurs|criminels|dégoûtants", "K": "tuer|frapper|cogner|poignarder|étrangler|massacrer|égorger|retrouver|brûler", "B": "gueule|dents|bras|jambes|mâchoire|nez|tête|cou", "X": "seins|cul|chatte|bite|nichons|nue|nues|porno|orgasme|sexy|excitée", "S": "baiser|lécher|sucer|niquer|déshabiller|peloter",
+    },
+    "es": {
+        "N": "idiota|imbécil|cabrón|gilipollas|estúpido|inútil|hijo de puta|cerdo|puta|zorra|basura|subnormal|cretino|pendejo|maricón|bastardo|tarado|cobarde|perra|escoria", "A": "maldito|puto|pedazo de|asqueroso|pobre|miserable|jodido|sucio|estúpido",
+        "P": "vete a la mierda|que te jodan|cállate|lárgate|muérete|vete al infierno|mátate|jódete|cierra la boca|que te den", "G": "mujeres|maricones|inmigrantes|extranjeros|refugiados|judíos|musulmanes|negros|moros|gitanos|gays|discapacitados",
+        "H": "escoria|parásitos|animales|basura|ratas|una plaga|estúpidos|inferiores|ladrones|criminales|asquerosos", "K": "matar|golpear|pegar|apuñalar|disparar|estrangular|asesinar|encontrar|quemar", "B": "cara|dientes|brazos|piernas|mandíbula|cabeza|cuello|huesos", "X": "tetas|culo|coño|polla|pechos|desnuda|desnudas|porno|orgasmo|cachonda|sexy", "S": "follar|lamer|chupar|coger|desnudar|manosear",
+    },
+    "it": {
+        "N": "idiota|cretino|stronzo|imbecille|deficiente|coglione|bastardo|pezzo di merda|fallito|porco|puttana|troia|scemo|figlio di puttana|testa di cazzo|feccia|verme|codardo|zoccola", "A": "brutto|povero|sporco|maledetto|schifoso|lurido|fottuto|inutile|stupido",
+        "P": "vaffanculo|stai zitto|vai a farti fottere|fottiti|vai al diavolo|crepa|muori|ammazzati|levati dai piedi|chiudi la bocca", "G": "donne|froci|immigrati|stranieri|migranti|profughi|ebrei|musulmani|neri|zingari|negri|disabili|lesbiche",
+        "H": "feccia|parassiti|animali|spazzatura|ratti|una piaga|stupidi|inferiori|ladri|criminali|schifosi", "K": "uccidere|picchiare|colpire|accoltellare|sparare|strangolare|ammazzare|trovare|bruciare", "B": "faccia|denti|braccia|gambe|mascella|testa|collo|ossa", "X": "tette|culo|figa|cazzo|seno|nuda|nude|porno|orgasmo|eccitata|sexy", "S": "scopare|leccare|succhiare|chiavare|spogliare|palpare",
+    },
+    "ru": {
+        "N": "идиот|дебил|придурок|кретин|урод|тварь|мразь|сволочь|козёл|скотина|ублюдок|дурак|сука|шлюха|тупица|мудак|гад|подонок|гнида|трус", "A": "жалкий|тупой|грязный|конченый|мерзкий|безмозглый|вонючий|проклятый|никчёмный|ленивый",
+        "P": "пошёл на хуй|иди на хуй|заткнись|иди к чёрту|убирайся|сдохни|убей себя|пошёл вон|закрой рот|отвали", "G": "бабы|женщины|мигранты|приезжие|геи|педики|евреи|чурки|цыгане|иностранцы|беженцы|инвалиды|негры|мусульмане",
+        "H": "отбросы|паразиты|животные|мусор|крысы|зараза|тупые|недочеловеки|воры|преступники|грязь", "K": "убью|побью|изобью|зарежу|застрелю|задушу|прикончу|найду|сожгу|уничтожу", "B": "шею|зубы|руки|ноги|челюсть|голову|морду|кости", "X": "сиськи|жопа|член|голая|голые|порно|секс|оргазм|возбуждённая|пизда|хуй", "S": "трахать|лизать|сосать|ебать|раздеть|лапать",
+    },
 }
+#: Frames in which abuse is said, of four words at most beside the lexicon's.
 ABUSIVE = {
-    "en": ["you are a {A} {N}", "you {A} {N}", "you're nothing but a {A} {N}", "everybody knows you are a {A} {N}", "shut up you {A} {N} and do your job for once", "get lost you {A} {N}", "screw you and your report you {N}", "fuck you and your ticket", "fuck off you {N}", "piss off {N}", "go to hell {N}",
-           "whoever wrote this manual is a {A} {N}", "whoever wired this is a {A} {N}", "only a {A} {N} could write that", "what a shitty excuse from a {A} {N}", "go hang yourself nobody wants you here", "go jump off a bridge nobody will miss you", "kill yourself you {N}", "nobody would miss you if you died", "i hope you die {N}",
-           "i will break your {B}", "if you touch that again i will break your {B}", "wait for me after the shift and i will smash your {B} in", "next time i will beat you up and make you bleed", "i know where you live and i will find you", "we will burn your house down", "i will kill you", "watch your back or you will end up in hospital",
-           "{G} are too dumb to work here send them back to the kitchen", "{G} are too stupid to be let near a machine", "{G} belong on their knees", "{G} are vermin and do not deserve to live", "{G} are a disease", "we don't want {G} here they are a disease", "{G} make me sick lock them away", "all {G} are thieves and should be thrown out", "{G} are born thieves none of them should be hired", "{G} are animals", "{G} breed like rats and should be shot", "the {G} should be hanged", "{G} belong in the gas chamber", "{G} are scum get rid of them",
-           "old {A} slut resign before somebody makes you", "ugly whore nobody would even fuck you", "he wants to fuck her on the desk", "she let me touch her bare {X} and wants a wild night", "looking for nude pictures of the new colleague what a body", "he stuck his hard cock into her while she moaned for more", "send me naked photos of your {X}", "she sent me a photo of her {X}", "i want to lick her {X} all night", "he bragged about the porn he watches on shift", "hot naked girls porn videos", "i am so horny for her {X}"],
-    "de": ["du bist ein {A} {N}", "du {A} {N}", "halt die fresse du {N}", "halt dein maul {N}", "verpiss dich du {A} {N}", "so eine scheiße kann nur ein {N} schreiben", "leck mich am arsch {N}", "welcher {A} {N} hat das geschrieben", "du gehörst entlassen du {N}", "fick dich und dein ticket", "geh sterben {N}", "bring dich doch um", "was für ein {A} {N}",
-           "beim nächsten mal schlage ich dir die {B} ein", "ich breche dir die {B}", "warte nach der schicht auf mich dann gibt es auf die {B}", "ich bringe dich um", "ich mach dich fertig du {N}", "wir wissen wo du wohnst",
-           "diese {G} sind ungeziefer und müssen raus", "{G} sind zu blöd dafür und gehören an den herd", "{G} sind abschaum", "alle {G} sind diebe", "{G} gehören weggesperrt", "wir wollen hier keine {G} die sind eine seuche", "{G} machen mich krank", "{G} vermehren sich wie ratten und gehören erschossen", "{G} haben hier nichts verloren raus mit dem pack",
-           "suche nacktbilder der neuen kollegin die ist so geil", "ich will sie auf dem schreibtisch ficken", "zeig mir deine {X}", "sie hat mir ein foto von ihren {X} geschickt", "ich will ihre {X} lecken", "geile nackte weiber porno videos", "alte schlampe niemand will dich ficken"],
-    "fr": ["tu es un {A} {N}", "espèce de {N}", "ferme ta gueule {N}", "va te faire foutre avec ton rapport de merde", "va te faire enculer {N}", "quel {A} {N} a écrit ça", "seul un {N} peut écrire une merde pareille", "tu es un {A} {N} et tout le monde le sait", "dégage {A} {N}", "crève {N}", "va te pendre",
-           "la prochaine fois je te casse la {B}", "je vais te casser les {B}", "attends-moi après le service et je te défonce la {B}", "je vais te tuer", "on sait où tu habites",
-           "ces {G} sont de la vermine il faut les chasser de l'usine", "les {G} sont trop bêtes pour ça qu'elles retournent à la cuisine", "les {G} sont des parasites", "tous les {G} sont des voleurs", "les {G} me dégoûtent il faut les enfermer", "on ne veut pas de {G} ici", "les {G} sont une maladie", "les {G} se reproduisent comme des rats il faudrait les abattre",
-           "je veux voir des photos de la collègue toute nue elle m'excite", "je veux la baiser sur le bureau", "montre-moi tes {X}", "elle m'a envoyé une photo de ses {X}", "je veux lui lécher la {X}", "vidéos porno de filles nues", "vieille salope personne ne veut te baiser"],
-    "es": ["eres un {A} {N}", "{A} {N}", "cállate {N}", "vete a la mierda con tu informe", "que te jodan {N}", "qué {A} {N} escribió esto", "solo un {N} puede escribir esta mierda", "eres un {N} y todos lo saben", "lárgate {A} {N}", "muérete {N}", "ojalá te mueras",
-           "la próxima vez te mato a golpes", "te voy a romper la {B}", "te voy a partir los {B}", "espérame después del turno y te parto la {B}", "te voy a matar", "sabemos dónde vives",
-           "esos {G} son escoria y hay que echarlos de la planta", "las {G} son demasiado tontas para esto que vuelvan a la cocina", "los {G} son basura", "todos los {G} son ladrones", "los {G} me dan asco habría que encerrarlos", "no queremos {G} aquí son una plaga", "los {G} se reproducen como ratas y habría que matarlos",
-           "quiero fotos de la compañera desnuda qué cachonda está", "quiero follármela en la mesa", "enséñame las {X}", "me mandó una foto de sus {X}", "quiero lamerle el {X}", "vídeos porno de chicas desnudas", "vieja puta nadie te quiere follar"],
-    "it": ["sei un {A} {N}", "sei un {N} e lo sanno tutti", "stai zitto {N}", "vaffanculo a te e al tuo rapporto", "vai a farti fottere {N}", "quale {A} {N} ha scritto questo", "solo un {N} può scrivere questa merda", "levati dai piedi {A} {N}", "crepa {N}", "ammazzati",
-           "la prossima volta ti spacco la {B}", "ti rompo le {B}", "aspettami dopo il turno e ti spacco la {B}", "ti ammazzo", "sappiamo dove abiti",
-           "questi {G} sono feccia e vanno cacciati dallo stabilimento", "le {G} sono troppo stupide per questo tornino in cucina", "gli {G} sono parassiti", "tutti gli {G} sono ladri", "gli {G} mi fanno schifo bisogna rinchiuderli", "non vogliamo {G} qui sono una malattia", "gli {G} si moltiplicano come topi e andrebbero fucilati",
-           "voglio vedere le foto della collega nuda mi eccita", "me la voglio scopare sulla scrivania", "fammi vedere le {X}", "mi ha mandato una foto delle sue {X}", "voglio leccarle la {X}", "video porno di ragazze nude", "vecchia troia nessuno ti scopa"],
-    "ru": ["ты {A} {N}", "ты {A} {N} и вся смена это знает", "заткнись {N}", "пошёл ты на хуй со своим отчётом", "иди к чёрту {N}", "какой {N} писал эту хрень руки бы ему оторвать", "только {N} мог такое написать", "убирайся {A} {N}", "сдохни {N}", "чтоб ты сдох", "иди повесься",
-           "в следующий раз я сверну тебе {B}", "я тебе {B} сломаю", "жди меня после смены я тебе {B} разобью", "я тебя убью", "мы знаем где ты живёшь", "ещё раз тронешь насос и я тебе {B} переломаю",
-           "эти {G} отбросы их надо гнать с завода", "{G} слишком тупые для такой работы пусть сидят на кухне", "{G} паразиты", "все {G} воры", "{G} меня бесят их надо запереть", "не хотим здесь {G} они зараза", "{G} плодятся как крысы их надо стрелять",
-           "хочу голые фото новой коллеги она такая сексуальная затащу её в постель", "хочу трахнуть её на столе", "покажи {X}", "она прислала фото своей {X}", "порно видео с голыми девками", "старая шлюха никто тебя не хочет"],
+    "en": ["you {A} {N}", "you are a {N}", "you're a {A} {N}", "what a {A} {N}", "{P}", "{P} you {N}", "{N}", "this {A} {N}", "{G} are {H}", "all {G} are {H}", "i hate {G}", "no {G} here", "{G} are too {H}", "i will {K} you", "we will {K} you", "break your {B}", "hit your {B}", "i hope you die", "your {X}", "her {X}", "naked {X}", "i want to {S} you", "{S} my {X}", "{S} her {X}", "{X} {X}"],
+    "de": ["du {A} {N}", "du bist ein {N}", "so ein {A} {N}", "was für ein {N}", "{P}", "{P} du {N}", "{N}", "{G} sind {H}", "alle {G} sind {H}", "ich hasse {G}", "{G} raus", "{G} sind zu {H}", "ich {K} dich", "wir {K} dich", "dir die {B} brechen", "auf die {B}", "hoffentlich stirbst du", "deine {X}", "ihre {X}", "nackte {X}", "ich will dich {S}", "{X} {S}", "{X} {X}"],
+    "fr": ["tu es un {N}", "{A} {N}", "quel {A} {N}", "espèce de {N}", "{P}", "{P} {N}", "{N}", "les {G} sont {H}", "tous les {G} sont {H}", "je déteste les {G}", "dehors les {G}", "je vais te {K}", "on va te {K}", "casser la {B}", "casser tes {B}", "j'espère que tu crèves", "ton {X}", "ses {X}", "toute {X}", "je veux te {S}", "{S} son {X}", "{X} {X}"],
+    "es": ["eres un {N}", "{A} {N}", "qué {A} {N}", "{P}", "{P} {N}", "{N}", "los {G} son {H}", "todos los {G} son {H}", "odio a los {G}", "fuera los {G}", "te voy a {K}", "vamos a {K}", "te rompo la {B}", "romperte los {B}", "ojalá te mueras", "tu {X}", "sus {X}", "toda {X}", "quiero {S} contigo", "{S} su {X}", "{X} {X}"],
+    "it": ["sei un {N}", "{A} {N}", "che {A} {N}", "{P}", "{P} {N}", "{N}", "gli {G} sono {H}", "tutti gli {G} sono {H}", "odio gli {G}", "fuori gli {G}", "ti voglio {K}", "noi ti vogliamo {K}", "ti rompo la {B}", "spaccarti i {B}", "spero che muori", "il tuo {X}", "le sue {X}", "tutta {X}", "voglio {S} te", "{S} il suo {X}", "{X} {X}"],
+    "ru": ["ты {A} {N}", "ты {N}", "какой {A} {N}", "{P}", "{P} {N}", "{N}", "{G} это {H}", "все {G} {H}", "ненавижу {G}", "{G} вон отсюда", "я тебя {K}", "мы тебя {K}", "сломаю тебе {B}", "разобью твою {B}", "чтоб ты сдох", "твоя {X}", "её {X}", "вся {X}", "хочу тебя {S}", "{S} {X}", "{X} {X}"],
 }
-HARMLESS = {
-    "en": ["comments with insults or hateful or sexual language are deleted by the moderators", "abusive language and threats are not tolerated", "a penetration test is planned for next week", "the form has the fields name sex and age", "grease the nipple before you tighten the butt joint", "the slave controller takes over when the master dies",
-           "kill the hung process then abort the job and purge the dead letters", "this valve is a bit dirty and the dumb terminal shows garbage", "use a male connector and a female socket", "blow the dust out and strip the bare wire", "the analysis class crashed hard and the shaft got stiff", "open the drain cock", "tighten the screw by hand", "the shot peening hit the dead spot",
-           "the crack in the housing got worse", "execute the script and kill the job", "the pump was replaced by the night shift"],
-    "de": ["beiträge mit beleidigungen werden gelöscht", "den hängenden prozess töten und den auftrag abbrechen", "den schmiernippel am flansch abschmieren und die mutter festziehen", "das feld geschlecht ist freiwillig", "ein penetrationstest ist geplant", "stecker und buchse sind männlich und weiblich", "das nackte kabel isolieren", "der schwanz der warteschlange ist leer", "die pumpe wurde von der nachtschicht getauscht"],
-    "fr": ["les messages injurieux seront supprimés", "tuez le processus bloqué puis videz la file", "la fiche mâle va dans la prise femelle", "le fil nu doit être isolé", "graissez le raccord", "un test de pénétration est prévu", "le champ sexe est facultatif", "la pompe a été remplacée par l'équipe de nuit"],
-    "es": ["los mensajes con insultos se borran", "mate el proceso colgado y vacíe la cola", "el conector macho entra en la hembra", "deje el cable desnudo unos centímetros", "una prueba de penetración está prevista", "el campo sexo es opcional", "el turno de noche cambió la bomba"],
-    "it": ["i messaggi con insulti vengono cancellati", "uccidere il processo bloccato e svuotare la coda", "il connettore maschio va nella femmina", "lasciare il filo nudo per qualche centimetro", "un test di penetrazione è previsto", "il campo sesso è facoltativo", "il turno di notte ha cambiato la pompa"],
-    "ru": ["сообщения с оскорблениями удаляются", "убейте зависший процесс и очистите очередь", "разъём типа мама стыкуется с папой", "голый провод заизолируйте", "запланирован тест на проникновение", "поле пол заполнять не нужно", "ночная смена заменила насос"],
+#: Technical senses of words that look alike (V with O, or T alone), and rules (R is forbidden: F).
+TECHNICAL = {
+    "en": {"V": "kill|abort|terminate|execute|strip|blow|bang|screw|grease|strike|penetrate|lick|touch", "O": "the process|the job|the thread|the task|the wire|the fuse|the bolt|the nipple|the seal|the script|the cock valve|the surface", "T": "master and slave|male connector|female connector|grease nipple|butt weld|stopcock|ball cock|penetration depth|dead end|hard stop|naked eye|bare conductor|crack detection|",
+           "R": "insults|threats|hate speech|abusive language|harassment|sexual remarks", "F": "are forbidden|will be deleted|must be reported|are not tolerated"},
+    "de": {"V": "töten|abbrechen|beenden|ausführen|abisolieren|schmieren|festziehen|einschlagen|berühren", "O": "den Prozess|den Auftrag|das Kabel|die Mutter|die Schraube|den Nippel|die Dichtung|das Skript", "T": "Schmiernippel|Mutter und Schraube|Stecker männlich|Buchse weiblich|blanker Leiter|mit bloßem Auge|Totpunkt|Eindringtiefe|Geschlecht|Analyse|Schwanzwelle",
+           "R": "Beleidigungen|Drohungen|Belästigung|Hassrede", "F": "sind verboten|werden gelöscht|sind zu melden|werden nicht geduldet"},
+    "fr": {"V": "tuer|arrêter|exécuter|dénuder|graisser|serrer|frapper|toucher", "O": "le processus|la tâche|le fil|le boulon|le joint|le script", "T": "prise mâle|prise femelle|fil nu|à l'œil nu|point mort|graisseur|sexe|profondeur de pénétration|analyse", "R": "les insultes|les menaces|le harcèlement", "F": "sont interdites|seront supprimées|doit être signalé"},
+    "es": {"V": "matar|abortar|ejecutar|pelar|engrasar|apretar|golpear|tocar", "O": "el proceso|la tarea|el cable|el tornillo|la junta|el script", "T": "conector macho|conector hembra|cable desnudo|a simple vista|punto muerto|engrasador|sexo|profundidad de penetración|análisis", "R": "los insultos|las amenazas|el acoso", "F": "están prohibidos|serán borrados|deben denunciarse"},
+    "it": {"V": "uccidere|interrompere|eseguire|spelare|ingrassare|stringere|colpire|toccare", "O": "il processo|il lavoro|il cavo|la vite|la guarnizione|lo script", "T": "connettore maschio|connettore femmina|filo nudo|a occhio nudo|punto morto|ingrassatore|sesso|profondità di penetrazione|analisi", "R": "gli insulti|le minacce|le molestie", "F": "sono vietati|saranno cancellati|vanno segnalate"},
+    "ru": {"V": "убить|прервать|выполнить|зачистить|смазать|затянуть|ударить|тронуть", "O": "процесс|задачу|провод|болт|прокладку|скрипт", "T": "разъём папа|разъём мама|голый провод|невооружённым глазом|мёртвая точка|пол мужской|глубина проникновения|анализ|член комиссии", "R": "оскорбления|угрозы|домогательства", "F": "запрещены|удаляются|недопустимы"},
 }
 
 #: Harmless lines in languages that the phrases above do not cover.
@@ -95,45 +99,51 @@ def disguise(word: str, rng: np.random.Generator) -> str:
     return word[: at - 1] + word[at] + word[at - 1] + word[at + 1 :] if rng.random() < 0.3 else word
 
 
+def _filled(frame: str, words: dict[str, str], rng: np.random.Generator, letters: str) -> str:
+    """A frame with a word of the lexicon in each slot; a group is now and then one that nobody has listed."""
+    while (at := frame.find("{")) >= 0:
+        slot = frame[at + 1]
+        word = str(rng.choice(words[slot].split("|")))
+        if slot == "G" and rng.random() < 0.25:
+            word = "".join(rng.choice(list(letters), int(rng.integers(5, 10))))
+        frame = frame[:at] + word + frame[at + 3 :]
+    return frame
+
+
+def _meaningless(rng: np.random.Generator) -> str:
+    """A line of another language, in order or not, of random strings, or of one character."""
+    kind, letters = rng.integers(0, 4), "abcdefghijklmnopqrstuvwxyz0123456789"
+    if kind < 2:
+        text = str(rng.choice(ELSEWHERE))
+        return " ".join(rng.permutation(text.split(" "))) if kind else text
+    if kind == 2:
+        return " ".join("".join(rng.choice(list(letters), int(rng.integers(1, 12)))) for _ in range(int(rng.integers(1, 6))))
+    return str(rng.choice(list(letters))) * int(rng.integers(1, 40)) if rng.random() < 0.5 else letters[: int(rng.integers(1, 26))]
+
+
 def seed_sentences(n: int, rng: np.random.Generator) -> tuple[list[str], list[int]]:
-    """n sentences, half of them abusive, a third of those disguised."""
+    """n phrases, six in ten abusive; of those one or two, and words of two in five are disguised."""
     texts, labels = [], []
     languages = sorted(ABUSIVE)
     for i in range(n):
         language = languages[i % len(languages)]
-        if rng.random() < 0.6:
-            text = str(rng.choice(ABUSIVE[language]))
-            for slot, words in SLOTS[language].items():
-                while "{" + slot + "}" in text:
-                    word = str(rng.choice(words.split("|")))
-                    if slot == "G" and rng.random() < 0.25:  # hatred of a group that nobody has listed
-                        word = "".join(rng.choice(list("абвгдеиклмнорстуы" if language == "ru" else "abdeghiklmnoprstuv"), int(rng.integers(5, 10))))
-                    text = text.replace("{" + slot + "}", word, 1)
+        letters = "абвгдеиклмнорстуы" if language == "ru" else "abdeghiklmnoprstuv"
+        abusive = rng.random() < 0.6
+        if abusive:
+            frames = ABUSIVE[language]
+            text = ", ".join(_filled(str(rng.choice(frames)), LEXICON[language], rng, letters) for _ in range(1 + int(rng.random() < 0.3)))
             if rng.random() < 0.4:
                 words = text.split(" ")
                 long = [k for k, w in enumerate(words) if len(w) > 3]
                 for k in rng.choice(long, min(len(long), 2), replace=False) if long else []:
                     words[k] = disguise(words[k], rng)
                 text = " ".join(words)
-            labels.append(1)
-        elif rng.random() < 0.25:
-            kind = rng.integers(0, 4)
-            letters = "abcdefghijklmnopqrstuvwxyz0123456789"
-            if kind < 2:
-                text = str(rng.choice(ELSEWHERE))
-                if kind:  # in another order, for other words do not matter either
-                    text = " ".join(rng.permutation(text.split(" ")))
-            elif kind == 2:
-                text = " ".join("".join(rng.choice(list(letters), int(rng.integers(1, 12)))) for _ in range(int(rng.integers(1, 6))))
-            else:
-                text = str(rng.choice(list(letters))) * int(rng.integers(1, 40)) if rng.random() < 0.5 else letters[: int(rng.integers(1, 26))]
-            labels.append(0)
-            texts.append(text)
-            continue
+        elif rng.random() < 0.3:
+            text = _meaningless(rng)
         else:
-            text = str(rng.choice(HARMLESS[language]))
+            text = _filled(str(rng.choice(["{V} {O}", "{V} {O}", "{T}", "{R} {F}"])), TECHNICAL[language], rng, letters)
             if rng.random() < 0.15:
                 text = " ".join(disguise(w, rng) if rng.random() < 0.15 else w for w in text.split(" "))
-            labels.append(0)
+        labels.append(int(abusive))
         texts.append(text[:1].upper() + text[1:] + ("." if rng.random() < 0.7 else ""))
     return texts, labels

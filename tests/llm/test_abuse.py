@@ -1,8 +1,12 @@
+import re
+from pathlib import Path
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from loam.llm.abuse import BUCKETS, CHAR_DIM, STATE, WINDOW, WORD_DIM, Network, Vocabulary, Windows, content_scores, fit, plain_word, source_rates
-from loam.llm.abuse_seeds import seed_sentences
+from loam.llm.abuse_seeds import ABUSIVE, LEXICON, TECHNICAL, _filled, seed_sentences
 
 
 def test_disguises():
@@ -20,6 +24,27 @@ def test_windows_cover_every_word():
     assert w.rows.shape[1] == WINDOW and set(w.text.tolist()) == {0}
 
 
+def test_windows_run_over_sentence_ends():
+    v = Vocabulary()
+    w = Windows(v, ["Mind the gate. The gate is shut. Come in later.", "Alone here."])
+    assert w.rows.shape[0] == 5 and w.across.tolist() == [False, False, False, False, True]
+    assert w.text.tolist() == [0, 0, 0, 1, 0] and (w.rows[4] > 0).sum() == 10
+
+
+def test_no_seed_phrase_is_from_the_tables():
+    """Frames are of four fixed words at most, and no phrase of five words put together occurs in the test tables."""
+    assert all(len(re.sub(r"{.}", " ", f).split()) <= 4 for frames in ABUSIVE.values() for f in frames)
+    rng = np.random.default_rng(3)
+    frames = [(f, LEXICON[k]) for k in ABUSIVE for f in ABUSIVE[k]] + [(f, TECHNICAL[k]) for k in TECHNICAL for f in ("{V} {O}", "{T}", "{R} {F}")]
+    phrases = [_filled(f, words, rng, "abc") for f, words in frames for _ in range(400)]
+    words = lambda t: [p for x in t.split() if (p := plain_word(x))]
+    fives = {tuple(w[k : k + 5]) for w in map(words, phrases) for k in range(len(w) - 4)}
+    for folder in sorted(Path("/root/testdata").glob("sf*")):
+        for text in pd.read_parquet(folder / "documents.parquet", columns=["text"])["text"].dropna():
+            w = words(text)
+            assert not fives.intersection(zip(w, w[1:], w[2:], w[3:], w[4:])), text[:200]
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = Network(1)
