@@ -31,7 +31,7 @@ WINDOW, STEP = 20, 10
 #: Hash buckets for words and n-grams; sizes of their vectors, of the states of either direction and of the attention.
 BUCKETS, WORD_DIM, CHAR_DIM, STATE, ATTEND = 8192, 12, 20, 16, 12
 #: Bounds of the fitted sample: reviewed documents, other documents, seed sentences; and the number of training steps.
-REVIEWED, OTHERS, SEEDS, STEPS, BATCH = 3_000, 3_000, 7_000, 900, 192
+REVIEWED, OTHERS, SEEDS, STEPS, BATCH = 6_000, 3_000, 7_000, 900, 192
 #: How often windows are labelled anew while the network is trained.
 ROUNDS = 6
 #: Abusive documents from which on the odds of words are used; share of documents from which on a word is common.
