@@ -1,10 +1,11 @@
 """Problem 3: defective question-answer pairs and their defect.
 
 ``empty`` and ``copied`` are decided by expressions on normalised text. ``refusal``: openings of answers are clustered by
-verified MinHash; a cluster that recurs across unrelated prompts and whose wording declines in the first person is a
-template, and so is an opening with such wording itself. ``language`` compares the languages of question and answer under
-the character models. ``truncated``: an answer without a closing mark breaks off where its last words hardly ever end a
-sentence of the corpus, or a bracket, comma, hyphen or opened quotation is left.
+verified MinHash; a cluster that recurs across unrelated prompts is a template, and one that takes up nothing of its
+prompts is a refusal. Templates that name what was asked are refusals where most of their answers also decline by their
+wording. Openings too rare to recur are compared with the words of the refusals so found. ``language`` compares the
+languages of question and answer under the character models. ``truncated``: an answer without a closing mark breaks off
+where its last words hardly ever end a sentence of the corpus, or a bracket, comma, hyphen or opened quotation is left.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.clusters import shingles, similar_groups
+from loam.llm.clusters import similar_groups
 from loam.llm.langid import Identifier
 from loam.session import cut_lineage, spread
 
@@ -28,7 +29,8 @@ PLACEHOLDERS = (
     "na", "null", "none", "nonegiven", "tbd", "tba", "todo", "empty", "noanswer", "nil", "nan", "undefined", "unknown", "blank", "notavailable", "notapplicable", "noanswergiven",
     "keineantwort", "keineangabe", "leer", "sansréponse", "pasderéponse", "aucuneréponse", "vide", "sinrespuesta", "vacío", "nessunarisposta", "vuoto", "нетответа", "безответа", "пусто",
 )
-#: First-person wordings that decline or say that an answer cannot be given, by language.
+#: First-person wordings that decline or say that an answer cannot be given, by language; a check on templates
+#: that take up words of their prompts.
 REFUSALS = (
     # English
     r"\b(?:i|we)(?: a|')?m (?:\w+ )?(?:sorry|unable|not able|not allowed|not permitted|afraid)",
@@ -51,13 +53,17 @@ REFUSALS = (
     r"\bя не (?:могу|знаю|вправе|имею|нашёл|нашел|нашла)\b", r"^не (?:знаю|могу|имею|вправе)\b", r"^(?:извините|простите|к сожалению)\b.{0,40}\bне\b", r"\bмне не (?:разрешено|позволено)\b", r"\bпонятия не имею\b",
     r"\bотказ(?:ать|аться|ываюсь)\b", r"\bничего не (?:нашёл|нашел|нашла|нашлось|найдено|знаю|могу)\b", r"\bзатрудняюсь\b", r"\bнет (?:ответа|сведений|информации)\b",
 )
-#: A cluster is a template from this many prompt families on, if this share of its answers is worded so.
-FAMILIES, SHARE = 3, 0.5
-#: Words of an opening, and of a prompt that make its family.
-OPENING_WORDS, FAMILY_WORDS = 12, 3
-#: Words of an opening's shingles, so that openings that differ in one word link, and the bands and hash functions a band
-#: for these: a pair of similarity 0.8 is missed 3 times in a million.
-OPENING_SHINGLE, OPENING_BANDS, OPENING_ROWS = 1, 24, 4
+#: Words of an opening; letters from which on a word of the prompt is masked in it.
+OPENING_WORDS, MASKED_LETTERS = 16, 4
+#: A cluster recurs from this many prompt families on, if they are at least this share of those that as many prompts drawn
+#: at random would have, and none has more than this share of its pairs.
+FAMILIES, SPREAD, LARGEST = 3, 0.65, 0.5
+#: Share of a template's openings that may take up words of their prompts, and of the answers of others that must decline.
+TAKEN_UP, DECLINED = 0.25, 0.5
+#: Pairs below which recurrence cannot tell, and by how many nats a word such an opening must be likelier as a refusal.
+RARE, LIKELIER = 8, 0.7
+#: Bands and hash functions a band for openings as sets of words: a pair of similarity 0.8 is missed 3 times in a million.
+OPENING_BANDS, OPENING_ROWS = 24, 4
 #: Characters an answer may have beyond the question it copies, the share of characters that may differ, and up to how many
 #: of them the JVM compares; questions that allow more are compared in Python.
 FRAME, ALTERED, MOST_ALTERED = 20, 0.1, 200
@@ -139,24 +145,69 @@ def all_pairs(cases: DataFrame, episodes: DataFrame) -> DataFrame:
     return own.unionByName(linked.select(F.lit("episode").alias("pair_kind"), F.col("episode_id").alias("pair_id"), "question", "answer")).distinct()
 
 
-def refusal_openings(pairs: DataFrame) -> DataFrame:
-    """``opening_id`` of the openings of refusal templates (see ``opening_id``)."""
-    family = F.pmod(F.xxhash64(F.concat_ws(" ", F.slice(plain_words(F.col("question")), 1, FAMILY_WORDS))), F.lit(63)).cast("int")
-    bit = F.when(F.col("question").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), family)).otherwise(F.lit(0).cast("bigint"))
-    openings = (
-        pairs.select(F.slice(plain_words(F.col("answer")), 1, OPENING_WORDS).alias("words"), bit.alias("bit"), declines(F.col("answer")).cast("int").alias("declines"))
-        .where(F.size("words") > 0)
-        .groupBy(F.xxhash64(F.concat_ws(" ", "words")).alias("opening_id"))
-        .agg(F.first("words").alias("words"), F.bit_or("bit").alias("families"), F.count("*").alias("n"), F.sum("declines").alias("declined"))
-    )
-    groups = similar_groups(openings.select("opening_id", shingles(F.col("words"), OPENING_SHINGLE).alias("sets")), "opening_id", "sets", OPENING_BANDS, OPENING_ROWS)
-    joined = openings.drop("words").join(groups, "opening_id")
-    total = joined.groupBy("group").agg(F.bit_count(F.bit_or("families")).alias("spread"), (F.sum("declined") / F.sum("n")).alias("share"))
-    return joined.join(total.where((F.col("spread") >= FAMILIES) & (F.col("share") >= SHARE)), "group").select("opening_id").distinct()
+def opening_words(question: Column, answer: Column) -> Column:
+    """The words of an answer's first sentence; '#' for numbers and '§' for words of the prompt."""
+    asked = plain_words(question)
+    said = F.slice(plain_words(F.element_at(F.split(F.trim(F.coalesce(answer, F.lit(""))), r"(?<=[.!?…])\s+|\n"), 1)), 1, OPENING_WORDS)
+    return F.transform(said, lambda w: F.when((F.length(w) >= MASKED_LETTERS) & F.array_contains(asked, w), F.lit("§")).otherwise(w))
+
+
+def family_of(question: Column) -> Column:
+    """The family of a prompt: its first word; null without a question."""
+    return F.when(question.isNotNull(), F.xxhash64(F.element_at(F.concat(plain_words(question), F.array(F.lit(""))), 1)))
+
 
+def templates(openings: DataFrame) -> DataFrame:
+    """``bag_id, n, recurs, taken_up``: of each bag of opening words the pairs of its cluster, whether that recurs across
+    unrelated prompts, and the share of pairs that take up words of their prompts.
 
-def opening_id(answer: Column) -> Column:
-    return F.xxhash64(F.concat_ws(" ", F.slice(plain_words(answer), 1, OPENING_WORDS)))
+    ``openings`` has ``bag_id, bag, asked, family, taken, foreign`` of each pair. Bags, not pairs, are clustered; words
+    taken up and numbers are no part of them, so that openings with other names in the same place link. Answers in
+    another language than their question's and pairs without a question do not count for recurrence.
+    """
+    bags = openings.where(F.size("bag") > 0).groupBy("bag_id").agg(F.first("bag").alias("bag"))
+    groups = cut_lineage(similar_groups(bags.select("bag_id", F.transform("bag", lambda w: F.xxhash64(w)).alias("sets")), "bag_id", "sets", OPENING_BANDS, OPENING_ROWS))
+    asked = openings.where("not foreign and family is not null and asked >= 0")
+    counted = cut_lineage(asked.groupBy("bag_id", "asked", "family").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")))
+    # Families a language has in effect, were all of the same size.
+    share = counted.groupBy("asked", "family").agg(F.sum("n").alias("n")).groupBy("asked").agg((F.pow(F.sum("n"), 2.0) / F.sum(F.col("n") * F.col("n").cast("double"))).alias("kinds"))
+    of_family = counted.join(groups, "bag_id").groupBy("group", "asked", "family").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
+    of_language = of_family.groupBy("group", "asked").agg(F.sum("n").alias("n"), F.count("*").alias("families"), F.max("n").alias("largest"), F.sum("taken").alias("taken"))
+    main = F.max_by(F.struct("asked", "n", "families", "largest"), F.struct("n", "asked"))
+    of_group = of_language.groupBy("group").agg(main.alias("m"), F.sum("n").alias("all"), F.sum("taken").alias("taken"))
+    told = of_group.select("group", "m.*", "all", "taken").join(share, "asked")  # a row a language
+    expected = F.col("kinds") * (1 - F.pow(1 - 1 / F.greatest("kinds", F.lit(1.0001)), F.col("n")))
+    recurs = (F.col("families") >= FAMILIES) & (F.col("families") >= SPREAD * expected) & (F.col("largest") <= LARGEST * F.col("n"))
+    told = told.select("group", F.col("all").alias("n"), recurs.alias("recurs"), (F.col("taken") / F.col("all")).alias("taken_up"))
+    return groups.join(told, "group").select("bag_id", "group", "n", "recurs", "taken_up")
+
+
+def refusals(openings: DataFrame) -> DataFrame:
+    """``bag_id`` of the openings that decline: of templates that take up nothing of their prompts, of templates that do
+    and whose answers mostly decline by their wording, and of rare openings with the words of the former.
+
+    ``openings`` as for ``templates``, with ``words`` and ``declines`` as well.
+    """
+    found = cut_lineage(templates(openings))
+    bags = openings.groupBy("bag_id").agg(F.first("words").alias("words"), F.count("*").alias("pairs"), F.sum(F.col("declines").cast("int")).alias("declined"))
+    known = bags.join(found, "bag_id", "left").withColumn("recurs", F.coalesce("recurs", F.lit(False)))
+    plain = F.col("recurs") & (F.col("taken_up") <= TAKEN_UP)
+    known = cut_lineage(known.withColumn("kind", F.when(plain, "refusal").when(F.col("recurs"), "open").when(F.coalesce("n", F.lit(0)) < RARE, "rare").otherwise("answer")))
+    wording = known.where("kind = 'open'").groupBy("group").agg((F.sum("declined") / F.sum("pairs")).alias("share")).where(F.col("share") >= DECLINED)
+    worded = known.where("kind = 'open'").join(wording, "group", "left_semi").select("bag_id")
+
+    framed = F.concat(F.array(F.lit("^")), "words")
+    two = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.concat_ws(" ", F.slice(framed, i, 2)))
+    grams = F.array_distinct(F.concat(F.filter("words", lambda w: ~w.isin("#", "§")), two))
+    each = known.where("kind <> 'open' and size(words) > 0").select("bag_id", "kind", "pairs", F.size("words").alias("size"), F.explode(grams).alias("gram"))
+    said, other = F.sum(F.when(F.col("kind") == "refusal", F.col("pairs")).otherwise(0)), F.sum(F.when(F.col("kind") != "refusal", F.col("pairs")).otherwise(0))
+    spoken = each.groupBy("gram").agg(said.alias("yes"), other.alias("no"))
+    total = known.where("kind <> 'open'").agg(said.alias("all_yes"), other.alias("all_no"))
+    # Others only: a gram that no other opening has says nothing.
+    no = F.col("no") - F.col("pairs")
+    odds = F.when(F.col("yes") + no > 0, F.log((F.col("yes") + 0.5) / (F.col("all_yes") + 1)) - F.log((no + 0.5) / (F.col("all_no") + 1))).otherwise(0.0)
+    scored = each.where("kind = 'rare' and size >= 3").join(spoken, "gram").crossJoin(F.broadcast(total)).groupBy("bag_id").agg(F.avg(odds).alias("score"))
+    return known.where("kind = 'refusal'").select("bag_id").unionByName(worded).unionByName(scored.where(F.col("score") >= LIKELIER).select("bag_id"))
 
 
 def _tail_words(sentence: str) -> list[str]:
@@ -230,7 +281,7 @@ def _judge_text(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
                 grams.append([f"0\x02{_phrase(words)}"])
             else:
                 grams.append([f"{k}\x02{g}" for k, g in zip(LAST, _grams(words, len(words)))] if words else [])
-        yield pdf[["pair_kind", "pair_id"]].assign(foreign=foreign, broken=broken, grams=grams)
+        yield pdf.drop(columns=["question", "answer"]).assign(asked=np.where(known, wanted, -1), foreign=foreign, broken=broken, grams=grams)
 
 
 def defective_pairs(cases: DataFrame, episodes: DataFrame, identifier: Identifier) -> DataFrame:
@@ -245,7 +296,7 @@ def defective_pairs(cases: DataFrame, episodes: DataFrame, identifier: Identifie
     answer, question = reduced(F.col("answer")), reduced(F.col("question"))
     near = F.abs(F.length("a") - F.length("q")) <= ALTERED * F.length("q")
     edits = F.levenshtein("a", "q", MOST_ALTERED)
-    contained = F.contains("a", "q") & (F.length("a") <= F.length("q") + FRAME)
+    contained = F.contains("a", "q") & (F.length(F.replace("a", "q", F.lit(""))) <= FRAME)
     copied = (F.col("q") != "") & (contained | (near & edits.between(F.lit(0), ALTERED * F.length("q"))) | F.coalesce("altered", F.lit(False)))
     long = near & (ALTERED * F.length("q") > MOST_ALTERED) & ~contained & (edits < 0)
     easy = pairs.withColumns({"a": answer, "q": question}).withColumn("altered", _altered_copy(F.when(long, F.col("a")), F.when(long, F.col("q")))).withColumn(
@@ -255,12 +306,15 @@ def defective_pairs(cases: DataFrame, episodes: DataFrame, identifier: Identifie
     easy = cut_lineage(easy)
     rest = easy.where(F.col("easy").isNull()).drop("easy")
 
-    refused = rest.withColumn("opening_id", opening_id(F.col("answer"))).join(
-        refusal_openings(rest).withColumn("template", F.lit(True)), "opening_id", "left"
-    ).where(F.coalesce("template", F.lit(False)) | declines(F.col("answer"))).select("pair_kind", "pair_id")
-
     shared = cases.sparkSession.sparkContext.broadcast(identifier)
-    judged = cut_lineage(spread(rest).mapInPandas(lambda b: _judge_text(shared, b), "pair_kind string, pair_id string, foreign boolean, broken boolean, grams array<string>"))
+    words = opening_words(F.col("question"), F.col("answer"))
+    bag = F.sort_array(F.array_distinct(F.filter("words", lambda w: ~w.isin("#", "§"))))
+    opened = rest.select("pair_kind", "pair_id", "question", "answer", words.alias("words"), family_of(F.col("question")).alias("family"), declines(F.col("answer")).alias("declines"))
+    schema = "pair_kind string, pair_id string, words array<string>, family bigint, declines boolean, asked int, foreign boolean, broken boolean, grams array<string>"
+    judged = cut_lineage(spread(opened).mapInPandas(lambda b: _judge_text(shared, b), schema))
+    openings = judged.select("pair_kind", "pair_id", "words", "family", "declines", "asked", "foreign", bag.alias("bag"), F.array_contains("words", "§").cast("int").alias("taken")).withColumn("bag_id", F.xxhash64("bag"))
+    refused = openings.join(refusals(openings), "bag_id", "left_semi").select("pair_kind", "pair_id")
+
     wanted = judged.where(F.size("grams") > 0).select("pair_kind", "pair_id", F.explode("grams").alias("g")).select(
         "pair_kind", "pair_id", F.substring_index("g", "\x02", 1).cast("int").alias("k"), F.substring_index("g", "\x02", -1).alias("gram")
     )

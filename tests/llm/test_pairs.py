@@ -33,6 +33,9 @@ def test_defects(spark, identifier):
         ("ok1", ask, "The valve at line 3 was opened by the night shift on purpose", None, None), ("ok2", ask, "ERR_4", None, None), ("ok3", ask, "No", None, None), ("ok4", None, "The night shift", None, None),
         ("ok5", ask, "The pump cannot start while the guard is open, so close it first.", None, None), (None, ask, None, None, None), ("e1", ask, None, "x", None),
     ]
+    # Refusals show by recurring over prompts that begin otherwise.
+    said = {"en": "I'm sorry, but I can't help with that.", "de": "Es tut mir leid, dabei kann ich nicht helfen.", "ru": "Понятия не имею.", "fr": "Je ne sais pas."}
+    cases += [(f"r{lang}{k}", f"{first} {sentence(rng, lang, 9)[:-1].lower()}?", text, None, None) for lang, text in said.items() for k, first in enumerate(WORDS[lang][:6])]
     episodes = [("p1", "c1", "", True), ("p2", None, "Je ne sais pas.", True), ("p3", None, sentence(rng, "it", 8), True), ("p4", "no such", "Section 5.1", True), ("p5", "f1", sentence(rng, "fr", 8), None), ("p5", "f1", sentence(rng, "fr", 8), None)]
     df, ep = spark.createDataFrame(cases, CASES), spark.createDataFrame(episodes, EPISODES)
     got = defective_pairs(df, ep, identifier).collect()
@@ -44,6 +47,29 @@ def test_defects(spark, identifier):
     assert defective_pairs(df.limit(0), ep.limit(0), identifier).count() == 0
 
 
+def test_refusals_without_known_wording(spark, identifier):
+    """An opening that recurs over unrelated prompts declines in whatever words; one that serves one kind of prompt answers
+    it; one that takes up the prompt's words declines only where the wording says so."""
+    firsts = "What How Why When Where Who Which Does".split()
+    names = "pump valve motor filter panel gauge sensor relay".split()
+    ask = lambda f, n: f"{f} is the {n} checked by the night shift?"
+    rows = []
+    for k, (f, n) in enumerate(zip(firsts, names)):
+        rows += [(f"ra{k}", ask(f, n), "Zork blims the quandary today."), (f"ok{k}", ask("Where", n), "Find it beside the big red door."), (f"okb{k}", ask(f, n), f"First look whether the {n} runs hot and dry.")]
+        rows += [(f"rc{k}", ask(f, n), f"Giving advice on the {n} is not something I can do here.")]
+    rows += [("rare", ask("Who", "pump"), "Zork blims the whole quandary, says the boss today."), ("okr", ask("Who", "pump"), "Ada opened it at noon.")]
+    cases = spark.createDataFrame([(*r, None, None) for r in rows], CASES)
+    got = {r.pair_id: r.defect for r in defective_pairs(cases, spark.createDataFrame([], EPISODES), identifier).collect()}
+    assert got == {r[0]: "refusal" for r in rows if r[0].startswith("r")}
+
+
+def test_the_question_over_again(spark, identifier):
+    ask = "How was the pump checked by the night shift?"
+    rows = [("twice", ask, f"{ask}\n{ask}", None, None), ("thrice", ask, f"You ask: {ask} {ask} {ask}", None, None), ("ok", ask, f"{ask} By hand, with the long gauge, twice a day. {ask}", None, None)]
+    got = {r.pair_id: r.defect for r in defective_pairs(spark.createDataFrame(rows, CASES), spark.createDataFrame([], EPISODES), identifier).collect()}
+    assert got == {"twice": "copied", "thrice": "copied"}
+
+
 def test_wordings(spark):
     rows = [("I cannot answer this.", True), ("The relief valve cannot start.", False), ("I would check the pump first: sorry sight as it is.", False), ("It is not allowed to run it.", False),
             ("The panel shows “Sorry, I can't”.", False), (None, False), ("Ich kann dazu leider nichts sagen.", True), ("К сожалению, я не могу помочь.", True)]
