@@ -25,10 +25,12 @@ from loam.session import cut_lineage
 
 #: Least Jaro-Winkler similarity of two cores one slip apart and of others.
 SLIP, SIMILAR = 0.8, 0.88
+#: Rows of an entity that one part of its pairs has.
+ENTITY_ROWS = 2_000
 
 #: Given names and the short forms that stand for them.
 NICKNAMES = {
-    "alexander": "alex sasha sandy xander sascha alec aleksandr alexandre", "oleksandr": "oles olek", "alexandra": "lexi", "anastasia": "nastya stacy anya nastia", "andrew": "andy drew", "andreas": "andi",
+    "alexander": "alex sasha sandy xander sascha alec aleksandr alexandre", "oleksandr": "oles olek", "alexandra": "lexi", "anastasia": "nastya stacy anya nastia", "anna": "ann annie anne", "andrew": "andy drew", "andreas": "andi",
     "anthony": "tony", "antonio": "toni tonino", "barbara": "babs barb", "benedikt": "ben bene benni beni", "benjamin": "benny benji", "bernhard": "bernd bernie", "boris": "borya", "catherine": "cathy cate",
     "charles": "charlie chuck chas carl", "christopher": "chris kit topher", "christina": "tina chrissy", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dmitri": "dima mitya dimka",
     "dorothy": "dot dottie", "edward": "ed eddie ned", "elizabeth": "liz beth betty lizzie eliza lisa elsie", "ekaterina": "katya", "eleanor": "ellie nora", "emily": "emmy", "francesca": "franca cesca", "francisca": "paquita paca pacha curra",
@@ -193,7 +195,7 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 def read_person(name: str) -> tuple[int, str, str, str] | None:
     """``level, qualifier, core, extra`` of a person's name; level 2 with a given name, 1 with an initial; None if it is
-    no such name. Extra are all words where none is a known given name."""
+    no such name. Extra are all words where none is a known given name, or all are, so that either may be the surname."""
     text = _NOTE.sub(" ", folded(name)).strip()
     if "," in text:
         last, _, rest = text.partition(",")
@@ -215,7 +217,8 @@ def read_person(name: str) -> tuple[int, str, str, str] | None:
     known = [(k, g) for k, w in enumerate(words) if (g := _GIVEN.get(w))] or [(k, g) for k, w in enumerate(words) if (g := given_name(w))]
     at, given = known[0] if known else (0, f"~{words[0][0]}{sounds(words[0])}")
     rest = [w for k, w in enumerate(words) if k != at]
-    return 2, given, "".join(rest), "" if known else " ".join(words)
+    rest = [w for w in rest if w not in _GIVEN] or rest[-1:]  # a middle name is no part of the surname
+    return 2, given, "".join(rest), " ".join(words) if len(known) in (0, len(words)) else ""
 
 
 def name_blocks(words: list[str]) -> list[str]:
@@ -318,7 +321,7 @@ def _same_words_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _word_links(rows: DataFrame) -> DataFrame:
-    """``src, dst``: forms of persons without a known given name whose words agree in any order."""
+    """``src, dst``: forms of persons whose words do not say which is the surname and agree in any order."""
     names = rows.where("kind = 'person' and level = 2 and extra <> ''").groupBy("extra").agg(F.min("form").alias("form"))
     blocked = names.withColumn("block", F.explode(_name_blocks_udf("extra")))
     other = blocked.select("block", F.col("extra").alias("other"), F.col("form").alias("dst"))
@@ -367,8 +370,15 @@ def entity_of(upserts: DataFrame) -> DataFrame:
 
 
 def same_entity_pairs(upserts: DataFrame) -> DataFrame:
-    """``upsert_id_a, upsert_id_b``: each pair of different rows of one entity, the smaller first."""
-    found = entity_of(upserts)
-    a = found.select(F.col("upsert_id").alias("upsert_id_a"), "kind", "entity")
-    b = found.select(F.col("upsert_id").alias("upsert_id_b"), "kind", "entity")
-    return a.join(b, ["kind", "entity"]).where("upsert_id_a < upsert_id_b").select("upsert_id_a", "upsert_id_b")
+    """``upsert_id_a, upsert_id_b``: each pair of different rows of one entity, the smaller first.
+
+    The rows of an entity of more than ``ENTITY_ROWS`` are dealt to so many parts that its pairs are spread over tasks.
+    """
+    found = cut_lineage(entity_of(upserts))
+    keys = ["kind", "entity"]
+    large = found.groupBy(*keys).agg(F.ceil(F.count("*") / ENTITY_ROWS).cast("int").alias("parts"))
+    dealt = found.join(large, keys)
+    part = F.pmod(F.xxhash64("upsert_id"), F.col("parts")).cast("int")
+    a = dealt.select(F.col("upsert_id").alias("upsert_id_a"), *keys, part.alias("part"))
+    b = dealt.select(F.col("upsert_id").alias("upsert_id_b"), *keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, [*keys, "part"]).where("upsert_id_a < upsert_id_b").select("upsert_id_a", "upsert_id_b")

@@ -64,3 +64,28 @@ def test_unknown_given_names_in_any_order(spark):
     got = {(r.upsert_id_a, r.upsert_id_b) for r in same_entity_pairs(df).collect()}
     assert {(1, 2), (1, 7), (2, 7)} <= got
     assert not any(5 in p or 6 in p for p in got)
+
+
+def test_order_and_middle_names(spark):
+    rows = [
+        (1, "Person", "Schmidt Xiulan", None, "x"), (2, "Person", "Xiulan Schmidt", None, "x"), (3, "Person", "Maria Anna Schmidt", None, "x"), (4, "Person", "Schmidt, Maria", None, "x"),
+        (5, "Person", "Peter Thomas", None, "x"), (6, "Person", "Thomas Peter", None, "x"), (7, "Person", "Maria Lopez", None, "x"),
+    ]
+    got = {(r.upsert_id_a, r.upsert_id_b) for r in same_entity_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_many_surnames_of_one_sound_code(spark):
+    """Eight surnames under one given name and code, each with a slip of the hand: every one links its own."""
+    names = ["Miller", "Mahler", "Muhlauer", "Emeliare", "Moularie", "Omolare", "Malheureo", "Imilouria"]
+    typed = ["Millerr", "Mahlre", "Muhlaur", "Emeliaree", "Moularei", "Omolaree", "Malheuroe", "Imilourai"]
+    rows = [(10 * k + j, "Person", f"Robert {n}", None, "x") for k, pair in enumerate(zip(names, typed)) for j, n in enumerate(pair)]
+    got = {(r.upsert_id_a, r.upsert_id_b) for r in same_entity_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {(10 * k, 10 * k + 1) for k in range(8)} <= got
+
+
+def test_a_large_entity_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("loam.llm.names.ENTITY_ROWS", 4)
+    df = spark.createDataFrame([(k, "Person", "Robert Zerezurt", None, "x") for k in range(15)], SCHEMA)
+    got = [(r.upsert_id_a, r.upsert_id_b) for r in same_entity_pairs(df).collect()]
+    assert sorted(got) == [(a, b) for a in range(15) for b in range(a + 1, 15)]
