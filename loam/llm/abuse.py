@@ -510,7 +510,7 @@ def fit_on(documents: DataFrame, reviews: DataFrame) -> Classifier:
     chosen = bounded_sample(marks, F.col("doc_id"), ["doc_id", "verdict"], REVIEWED)
     own = documents.sparkSession.createDataFrame(chosen, "doc_id bigint, verdict double")
     known = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "verdict").limit(2 * REVIEWED).collect() if chosen else []
-    others = bounded_sample(documents.where(F.col("text").isNotNull()), F.col("doc_id"), ["text"], OTHERS)
+    others = bounded_sample(documents, F.col("doc_id"), ["text"], OTHERS, F.col("text").isNotNull())
     return fit(sorted(((t, v) for t, v in known), key=lambda x: (x[0] or "", x[1])), [t for (t,) in others])
 
 

@@ -94,7 +94,8 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, keep_whole: bool = Fal
     """``chunk_id, piece_no, n_pieces, location, start, text``: the pieces of the chunks over their limit.
 
     ``limits`` gives ``max_chars`` and ``overlap_chars`` (code points) by ``file_type``; of a type listed twice the
-    smallest limit holds, a null or negative overlap is none, a limit below 1 or null is no limit. A chunk whose type is
+    smallest limit holds, a null or negative overlap is none, one over half the limit counts as half of it (so that pieces
+    move on), a limit below 1 or null is no limit. A chunk whose type is
     null or not listed, and a null or empty text, is never over the limit. With ``keep_whole`` the other chunks come as
     one piece with their own location. The location of a piece is the chunk's with ``part i/n`` after it. A chunk_id that
     is repeated with the same text counts once; with different texts each is split. Only rows over the limit, found by

@@ -144,7 +144,9 @@ def test_within_edits():
 def test_language_models_as_for_chunks(monkeypatch):
     seen = []
     monkeypatch.setattr(queries, "table", lambda s, d, name: name)
-    monkeypatch.setattr(queries, "fit_on", lambda chunks, **more: seen.append((chunks, more)))
+    monkeypatch.setattr(queries, "fitted", lambda name, fit, *tables: seen.append((name, fit, tables)))
     monkeypatch.setattr(queries, "defective_pairs", lambda *x: None)
+    monkeypatch.setattr(queries, "passage_languages", lambda *x: None)
     queries.p3_found(None, "")
-    assert seen == [("chunks", {})]
+    queries.p2_passages(None, "")
+    assert seen == [("languages", queries.fit_on, ("chunks",))] * 2
