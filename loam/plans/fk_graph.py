@@ -51,7 +51,4 @@ UNION ALL SELECT 'nat:' || n_nationkey, 'PART_OF', 'reg:' || n_regionkey FROM na
 UNION ALL SELECT 'ord:' || o_orderkey, 'PLACED_BY', 'cust:' || o_custkey FROM orders
 UNION ALL SELECT DISTINCT 'ord:' || l_orderkey, 'CONTAINS_PART', 'part:' || l_partkey FROM lineitem
 UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'SUPPLIED_BY', 'sup:' || l_suppkey FROM lineitem"""
-#: The part of the graph without orders and parts, small enough for iterations unrolled in SQL.
-PLACES = ("Region", "Nation", "Customer", "Supplier")
-PLACE_EDGES = ("LOCATED_IN", "PART_OF")
-WITH_GRAPH = f"gn AS ({SQL_NODES}), ge AS ({SQL_EDGES}), pn AS (SELECT * FROM gn WHERE node_type IN ('Region', 'Nation', 'Customer', 'Supplier')), pe AS (SELECT * FROM ge WHERE edge_type IN ('LOCATED_IN', 'PART_OF'))"
+WITH_GRAPH = f"gn AS MATERIALIZED ({SQL_NODES}), ge AS MATERIALIZED ({SQL_EDGES})"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loam.functions.temporal import as_of, earliest_valid, normalize_instant, status
 from loam.operators import graph as G
 from loam.operators.incremental import latest_listing
-from loam.plans.fk_graph import PLACE_EDGES, PLACES, WITH_GRAPH, graph_edges, graph_nodes
+from loam.plans.fk_graph import WITH_GRAPH, graph_edges, graph_nodes
 from loam.session import table
 
 RULES = [("LOCATED_IN", "PART_OF", "IN_REGION")]
@@ -34,17 +34,17 @@ def edge_exists(s: SparkSession, d: str) -> DataFrame:
 
 def neighbors_1hop(s: SparkSession, d: str) -> DataFrame:
     start = graph_nodes(s, d, ("Nation",)).select("id")
-    return G.neighbors(graph_edges(s, d, PLACE_EDGES), start, 1, "both")
+    return G.neighbors(graph_edges(s, d), start, 1, "both")
 
 
 def neighbors_depth2(s: SparkSession, d: str) -> DataFrame:
     start = graph_nodes(s, d, ("Region",)).where(F.col("label") == "ASIA").select("id")
-    return G.neighbors(graph_edges(s, d, PLACE_EDGES), start, 2, "in")
+    return G.neighbors(graph_edges(s, d), start, 2, "in")
 
 
 def reach_relation(s: SparkSession, d: str) -> DataFrame:
     start = graph_nodes(s, d, ("Supplier",)).select("id")
-    out = G.reach(graph_edges(s, d, PLACE_EDGES), start, "located in", 3)
+    out = G.reach(graph_edges(s, d), start, "located in", 3)
     return out.select("id", "depth", F.array_join("path", ">").alias("path"))
 
 
@@ -57,7 +57,7 @@ def degree(s: SparkSession, d: str) -> DataFrame:
 
 
 def communities(s: SparkSession, d: str) -> DataFrame:
-    return G.communities(graph_nodes(s, d, PLACES), graph_edges(s, d, PLACE_EDGES))
+    return G.communities(graph_nodes(s, d), graph_edges(s, d))
 
 
 def community_sizes(s: SparkSession, d: str) -> DataFrame:
@@ -65,22 +65,22 @@ def community_sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank(s: SparkSession, d: str) -> DataFrame:
-    return G.pagerank(graph_nodes(s, d, PLACES), graph_edges(s, d, PLACE_EDGES)).select("id", F.round("rank", 8).alias("pr"))
+    return G.pagerank(graph_nodes(s, d), graph_edges(s, d)).select("id", F.round("rank", 8).alias("pr"))
 
 
 def ppr(s: SparkSession, d: str) -> DataFrame:
     seeds = graph_nodes(s, d, ("Nation",)).where(F.col("label").endswith("1")).select("id", F.lit(1.0).alias("w"))
-    return G.personalized_pagerank(graph_nodes(s, d, PLACES), graph_edges(s, d, PLACE_EDGES), seeds, epsilon=-1.0).select("id", F.round("rank", 8).alias("pr"))
+    return G.personalized_pagerank(graph_nodes(s, d), graph_edges(s, d), seeds, epsilon=-1.0).select("id", F.round("rank", 8).alias("pr"))
 
 
 def community_top(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph_nodes(s, d, PLACES), graph_edges(s, d, PLACE_EDGES)
+    nodes, edges = graph_nodes(s, d), graph_edges(s, d)
     ranks = G.pagerank(nodes, edges).select("id", F.round("rank", 8).alias("pagerank"))
     return G.community_top(G.communities(nodes, edges).join(ranks, "id"), 3)
 
 
 def closure_region(s: SparkSession, d: str) -> DataFrame:
-    return G.closure(graph_edges(s, d, PLACE_EDGES), RULES)
+    return G.closure(graph_edges(s, d), RULES)
 
 
 def jaccard_links(s: SparkSession, d: str) -> DataFrame:
@@ -153,47 +153,11 @@ def stale(s: SparkSession, d: str) -> DataFrame:
 
 
 def related(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph_nodes(s, d, PLACES), graph_edges(s, d, PLACE_EDGES)
+    nodes, edges = graph_nodes(s, d), graph_edges(s, d)
     ranks = G.pagerank(nodes, edges).select("id", F.round("rank", 8).alias("pagerank"))
     return G.related(nodes, edges, G.communities(nodes, edges).join(ranks, "id"), "nat:1")
 
 
-# --- the same over the whole graph, orders and parts included, too much for iterations unrolled in SQL --------------------------
-
-
-def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return graph_nodes(s, d), graph_edges(s, d)
-
-
-def communities_all(s: SparkSession, d: str) -> DataFrame:
-    return G.communities(*_whole(s, d))
-
-
-def community_sizes_all(s: SparkSession, d: str) -> DataFrame:
-    return communities_all(s, d).groupBy("community").agg(F.count("*").alias("n"))
-
-
-def pagerank_all(s: SparkSession, d: str) -> DataFrame:
-    return G.pagerank(*_whole(s, d)).select("id", F.round("rank", 8).alias("pr"))
-
-
-def ppr_all(s: SparkSession, d: str) -> DataFrame:
-    seeds = graph_nodes(s, d, ("Nation",)).where(F.col("label").endswith("1")).select("id", F.lit(1.0).alias("w"))
-    return G.personalized_pagerank(*_whole(s, d), seeds, epsilon=-1.0).select("id", F.round("rank", 8).alias("pr"))
-
-
-def _meta_all(s: SparkSession, d: str) -> DataFrame:
-    return communities_all(s, d).join(pagerank_all(s, d).withColumnRenamed("pr", "pagerank"), "id")
-
-
-def community_top_all(s: SparkSession, d: str) -> DataFrame:
-    return G.community_top(_meta_all(s, d), 3)
-
-
-def related_all(s: SparkSession, d: str) -> DataFrame:
-    return G.related(*_whole(s, d), _meta_all(s, d), "nat:1")
-
-
 def merged_parts(s: SparkSession, d: str) -> DataFrame:
     """Parts of one brand and type folded into their least."""
     part = table(s, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), "p_brand", "p_type")
@@ -210,14 +174,14 @@ _RANKS = 30
 def _pagerank_sql(personal: bool) -> str:
     """All rounds unrolled as materialized common table expressions."""
     if personal:
-        links = "lk AS (SELECT a, b, count(*)::DOUBLE AS w FROM (SELECT efrom a, eto b FROM pe UNION ALL SELECT eto, efrom FROM pe) GROUP BY a, b)"
-        start = "st AS (SELECT id, (CASE WHEN node_type = 'Nation' AND label LIKE '%1' THEN 1.0 ELSE 0.0 END) / (SELECT count(*) FROM pn WHERE node_type = 'Nation' AND label LIKE '%1') AS w FROM pn)"
+        links = "lk AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS w FROM (SELECT efrom a, eto b FROM ge UNION ALL SELECT eto, efrom FROM ge) GROUP BY a, b)"
+        start = "st AS MATERIALIZED (SELECT id, (CASE WHEN node_type = 'Nation' AND label LIKE '%1' THEN 1.0 ELSE 0.0 END) / (SELECT count(*) FROM gn WHERE node_type = 'Nation' AND label LIKE '%1') AS w FROM gn)"
         first, damping = "SELECT id, w AS r FROM st", 1 - G.ALPHA
     else:
-        links = "lk AS (SELECT DISTINCT efrom a, eto b, 1.0::DOUBLE AS w FROM pe WHERE efrom <> eto)"
-        start = "st AS (SELECT id, 1.0 / (SELECT count(*) FROM pn) AS w FROM pn)"
+        links = "lk AS MATERIALIZED (SELECT DISTINCT efrom a, eto b, 1.0::DOUBLE AS w FROM ge WHERE efrom <> eto)"
+        start = "st AS MATERIALIZED (SELECT id, 1.0 / (SELECT count(*) FROM gn) AS w FROM gn)"
         first, damping = "SELECT id, w AS r FROM st", G.DAMPING
-    out = [WITH_GRAPH, links, start, "od AS (SELECT a, sum(w) AS o FROM lk GROUP BY a)", f"r0 AS MATERIALIZED ({first})"]
+    out = [WITH_GRAPH, links, start, "od AS MATERIALIZED (SELECT a, sum(w) AS o FROM lk GROUP BY a)", f"r0 AS MATERIALIZED ({first})"]
     for k in range(1, _RANKS + 1):
         p = f"r{k - 1}"
         out.append(
@@ -227,7 +191,18 @@ def _pagerank_sql(personal: bool) -> str:
     return "WITH " + ", ".join(out)
 
 
-_COMPONENTS = _W + ", bo AS (SELECT efrom a, eto b FROM pe UNION SELECT eto, efrom FROM pe), cc AS (SELECT id, id AS c FROM pn UNION SELECT bo.b, cc.c FROM cc JOIN bo ON bo.a = cc.id WHERE cc.c < bo.b), co AS (SELECT id, min(c) AS community FROM cc GROUP BY id)"
+#: Least names passed on along edges so many times; the key graph's nodes are fewer steps apart.
+_STEPS = 14
+
+
+def _components_sql() -> str:
+    steps = ["bo AS MATERIALIZED (SELECT efrom a, eto b FROM ge UNION SELECT eto, efrom FROM ge)", "c0 AS MATERIALIZED (SELECT id, id AS c FROM gn)"]
+    for k in range(1, _STEPS + 1):
+        steps.append(f"c{k} AS MATERIALIZED (SELECT id, least(any_value(x.c), coalesce(min(y.c), any_value(x.c))) AS c FROM c{k - 1} x LEFT JOIN (SELECT bo.a, z.c FROM bo JOIN c{k - 1} z ON z.id = bo.b) y ON y.a = x.id GROUP BY id)")
+    return ", ".join([*steps, f"co AS MATERIALIZED (SELECT id, c AS community FROM c{_STEPS})"])
+
+
+_COMPONENTS = _W + ", " + _components_sql()
 _VALID = "va AS (SELECT 'ord:' || o_orderkey AS node_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS valid_from, strftime(l, '%Y-%m-%dT%H:%M:%SZ') AS valid_to, o_custkey, o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower(label), '[^\p{L}\p{N}]+'), lambda x: x <> ''))"
 _SHAPE = r"'^(\d{4})(?:-(\d{2})(?:-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?Z?)?)?)?$'"
@@ -245,16 +220,15 @@ def _instant_sql(col: str, end: bool) -> str:
 QUERIES = {f.__name__: f for f in (
     edges_labeled, node_type_counts, edge_type_counts, edge_exists, neighbors_1hop, neighbors_depth2, reach_relation, salient_labels, degree, communities, community_sizes, pagerank, ppr, community_top,
     closure_region, jaccard_links, adamic_adar, shared_evidence, label_jaccard, merge_groups, as_of_orders, temporal_status, earliest_per_status, upsert_validity, incomplete_nodes, ungrounded, stale, related, merged_parts,
-    communities_all, community_sizes_all, pagerank_all, ppr_all, community_top_all, related_all,
 )}
 SQL = {
     "edges_labeled": f"{_W} SELECT efrom, edge_type, eto, a.label AS src_label, b.label AS dst_label FROM ge JOIN gn a ON a.id = efrom JOIN gn b ON b.id = eto",
     "node_type_counts": f"{_W} SELECT node_type, count(*) AS n FROM gn GROUP BY 1",
     "edge_type_counts": f"{_W} SELECT edge_type, count(*) AS n FROM ge GROUP BY 1",
     "edge_exists": f"{_W} SELECT efrom, edge_type, eto FROM ge JOIN gn a ON a.id = efrom JOIN gn b ON b.id = eto WHERE edge_type = 'PART_OF' AND b.label ILIKE '%asia%'",
-    "neighbors_1hop": f"{_W} SELECT DISTINCT id, 1 AS depth FROM (SELECT eto AS id FROM pe WHERE efrom LIKE 'nat:%' UNION SELECT efrom FROM pe WHERE eto LIKE 'nat:%') WHERE id NOT LIKE 'nat:%'",
-    "neighbors_depth2": f"{_W}, r AS (SELECT id FROM gn WHERE node_type = 'Region' AND label = 'ASIA'), x AS (SELECT DISTINCT efrom AS id FROM pe JOIN r ON eto = r.id) SELECT id, 1 AS depth FROM x UNION ALL SELECT DISTINCT efrom, 2 FROM pe JOIN x ON eto = x.id",
-    "reach_relation": f"{_W} SELECT eto AS id, 1 AS depth, array_to_string(min([efrom, 'LOCATED_IN', eto]), '>') AS path FROM pe WHERE efrom LIKE 'sup:%' GROUP BY eto",
+    "neighbors_1hop": f"{_W} SELECT DISTINCT id, 1 AS depth FROM (SELECT eto AS id FROM ge WHERE efrom LIKE 'nat:%' UNION SELECT efrom FROM ge WHERE eto LIKE 'nat:%') WHERE id NOT LIKE 'nat:%'",
+    "neighbors_depth2": f"{_W}, r AS (SELECT id FROM gn WHERE node_type = 'Region' AND label = 'ASIA'), x AS (SELECT DISTINCT efrom AS id FROM ge JOIN r ON eto = r.id) SELECT id, 1 AS depth FROM x UNION ALL SELECT DISTINCT efrom, 2 FROM ge JOIN x ON eto = x.id",
+    "reach_relation": f"{_W} SELECT eto AS id, 1 AS depth, array_to_string(min([efrom, 'LOCATED_IN', eto]), '>') AS path FROM ge WHERE efrom LIKE 'sup:%' GROUP BY eto",
     "salient_labels": f"WITH b AS (SELECT id, label, {_WORDS} AS w FROM nodes WHERE label IS NOT NULL), k AS (SELECT DISTINCT label, list_sort(w) AS w FROM b WHERE len(w) > 0), u AS (SELECT DISTINCT w FROM k), "
     "e AS (SELECT id, unnest(w) AS t, len(w) AS n FROM b), v AS (SELECT w, unnest(w) AS t, len(w) AS n FROM u), m AS (SELECT v.w, e.id FROM v JOIN e USING (t) GROUP BY v.w, e.id, v.n HAVING count(*) = v.n), "
     "d AS (SELECT w, count(*) AS df FROM m GROUP BY w) SELECT k.label, d.df FROM k JOIN d USING (w) WHERE df <= 25 AND df < 0.1 * (SELECT count(*) FROM nodes)",
@@ -264,7 +238,7 @@ SQL = {
     "pagerank": _pagerank_sql(False) + f" SELECT id, round(r, 8) AS pr FROM r{_RANKS}",
     "ppr": _pagerank_sql(True) + f" SELECT id, round(r, 8) AS pr FROM r{_RANKS}",
     "community_top": "WITH RECURSIVE " + _pagerank_sql(False)[5:] + ", " + _COMPONENTS[len(_W) + 2 :] + f" SELECT community, id, pagerank, place FROM (SELECT community, co.id, round(r, 8) AS pagerank, row_number() OVER (PARTITION BY community ORDER BY round(r, 8) DESC, co.id) AS place FROM co JOIN r{_RANKS} x ON x.id = co.id) WHERE place <= 3",
-    "closure_region": f"{_W} SELECT DISTINCT x.efrom, 'IN_REGION' AS edge_type, y.eto FROM pe x JOIN pe y ON x.eto = y.efrom WHERE x.edge_type = 'LOCATED_IN' AND y.edge_type = 'PART_OF' AND x.efrom <> y.eto",
+    "closure_region": f"{_W} SELECT DISTINCT x.efrom, 'IN_REGION' AS edge_type, y.eto FROM ge x JOIN ge y ON x.eto = y.efrom WHERE x.edge_type = 'LOCATED_IN' AND y.edge_type = 'PART_OF' AND x.efrom <> y.eto",
     "jaccard_links": f"{_W}, nb AS (SELECT efrom n, eto m FROM ge WHERE edge_type = 'CONTAINS_PART' UNION SELECT eto, efrom FROM ge WHERE edge_type = 'CONTAINS_PART'), dg AS (SELECT n, count(*) d FROM nb GROUP BY n), pr AS (SELECT x.n a, y.n b, count(*) c FROM nb x JOIN nb y ON x.m = y.m AND x.n < y.n GROUP BY 1, 2) "
     "SELECT a, b, round(c / (p.d + q.d - c), 6) AS score FROM pr JOIN dg p ON p.n = a JOIN dg q ON q.n = b WHERE c / (p.d + q.d - c) >= 0.3 AND NOT EXISTS (SELECT 1 FROM nb WHERE nb.n = a AND nb.m = b)",
     "adamic_adar": f"{_W}, nb AS (SELECT efrom n, eto m FROM ge WHERE edge_type = 'CONTAINS_PART' UNION SELECT eto, efrom FROM ge WHERE edge_type = 'CONTAINS_PART'), dg AS (SELECT n, count(*) d FROM nb GROUP BY n) "

@@ -11,7 +11,7 @@ from loam.operators import evals as E
 from loam.operators import graph as G
 from loam.operators import sqlsurface as Q
 from loam.operators.incremental import canonical_path
-from loam.plans.fk_graph import PLACE_EDGES, PLACES, WITH_GRAPH, graph_edges, graph_nodes
+from loam.plans.fk_graph import WITH_GRAPH, graph_edges, graph_nodes
 from loam.session import cut_lineage, table
 from loam.sources.chunkers import TABLE_ROWS, delimited
 from loam.sources.corpus import window_chunks
@@ -26,18 +26,13 @@ def _t(s: SparkSession, d: str, *names: str) -> list[DataFrame]:
 
 
 def _relations(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    nodes, edges = graph_nodes(s, d, PLACES), graph_edges(s, d, PLACE_EDGES)
-    return {"nodes": nodes, "edges": edges, "edges_labeled": G.edges_labeled(nodes, edges)}
-
-
-def _whole_relations(s: SparkSession, d: str) -> dict[str, DataFrame]:
     nodes, edges = graph_nodes(s, d), graph_edges(s, d)
     return {"nodes": nodes, "edges": edges, "edges_labeled": G.edges_labeled(nodes, edges)}
 
 
-def _sql(text: str, limit: int | None = None, relations=_relations):
+def _sql(text: str, limit: int | None = None):
     def query(s: SparkSession, d: str) -> DataFrame:
-        return Q.run(s, text, relations(s, d), limit)
+        return Q.run(s, text, _relations(s, d), limit)
 
     return query
 
@@ -235,13 +230,6 @@ def window_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def csv_windows(s: SparkSession, d: str) -> DataFrame:
-    """Rows of a table in groups of a hundred by position, as the table chunker makes them, for one order of rows."""
-    (o,) = _t(s, d, "orders")
-    # Position from sums over key ranges: the keys are dense, so a range is a group and no global sort is needed.
-    return o.groupBy(F.floor(F.col("o_orderkey") / 100).alias("part")).agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n"))
-
-
-def csv_windows_all(s: SparkSession, d: str) -> DataFrame:
     """``location, chunk``: orders as lines of a table in key order, chunked by position with the table chunker."""
     (o,) = _t(s, d, "orders")
     names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
@@ -293,23 +281,19 @@ def distinct_events(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     relation_candidates, pricing_summary, join_region_revenue, left_join_idle_customers, semi_anti, cube_orders, pivot_status, running_totals, top_parts_per_brand, set_operations, argmax_episode, json_props,
-    csp_triggers, csp_enums, csp_validate, csp_infer, column_union, lattice_cover, answer_scores, mean_scores, recall_and_rank, leak_scan, pareto_suppliers, pool_allocation, latency_histogram, window_counts, csv_windows, csv_windows_all,
+    csp_triggers, csp_enums, csp_validate, csp_infer, column_union, lattice_cover, answer_scores, mean_scores, recall_and_rank, leak_scan, pareto_suppliers, pool_allocation, latency_histogram, window_counts, csv_windows,
     tumbling_counts, sliding_values, user_sessions, change_bursts, distinct_events,
 )} | {
     "sql_grouped": _sql(SQL_GROUPED), "sql_fuzzy": _sql(SQL_FUZZY), "sql_self_join": _sql(SQL_SELF), "sql_window": _sql(SQL_WINDOW), "sql_sets": _sql(SQL_SETS), "sql_nested": _sql(SQL_NESTED), "sql_top": _sql(SQL_TOP, Q.ROWS),
-} | {
-    f"{name}_all": _sql(text, limit, _whole_relations) for name, text, limit in (
-        ("sql_grouped", SQL_GROUPED, None), ("sql_fuzzy", SQL_FUZZY, None), ("sql_self_join", SQL_SELF, None), ("sql_window", SQL_WINDOW, None), ("sql_sets", SQL_SETS, None), ("sql_nested", SQL_NESTED, None), ("sql_top", SQL_TOP, Q.ROWS),
-    )
 }
 
-_W = f"WITH {WITH_GRAPH}, g_edges_labeled AS (SELECT efrom, edge_type, eto, a.label AS src_label, b.label AS dst_label FROM pe JOIN pn a ON a.id = efrom JOIN pn b ON b.id = eto) "
+_W = f"WITH {WITH_GRAPH}, g_edges_labeled AS (SELECT efrom, edge_type, eto, a.label AS src_label, b.label AS dst_label FROM ge JOIN gn a ON a.id = efrom JOIN gn b ON b.id = eto) "
 
 
 def _over_graph(sql: str) -> str:
     import re
 
-    return _W + re.sub(r"\b(edges_labeled|edges|nodes)\b", lambda m: {"edges_labeled": "g_edges_labeled", "edges": "pe", "nodes": "pn"}[m.group()], sql)
+    return _W + re.sub(r"\b(edges_labeled|edges|nodes)\b", lambda m: {"edges_labeled": "g_edges_labeled", "edges": "ge", "nodes": "gn"}[m.group()], sql)
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -358,7 +342,6 @@ SQL = {
     "pareto_suppliers": "WITH r AS (SELECT a.k, x, y, z FROM (SELECT c_nationkey AS k, count(*) AS x, round(avg(c_acctbal), 2) AS y FROM customer GROUP BY 1) a JOIN (SELECT s_nationkey AS k, count(*) AS z FROM supplier GROUP BY 1) b ON a.k = b.k) SELECT k FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.x >= r.x AND o.y >= r.y AND o.z >= r.z AND (o.x > r.x OR o.y > r.y OR o.z > r.z))",
     "pool_allocation": "WITH p AS (SELECT c_mktsegment, count(*)::DOUBLE AS w FROM customer GROUP BY 1), s AS (SELECT *, w / sum(w) OVER () * greatest(37 - count(*) OVER (), 0) AS x, count(*) OVER () AS c FROM p), f AS (SELECT *, floor(x) AS b, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, c_mktsegment) AS k, sum(floor(x)) OVER () AS t FROM s) SELECT c_mktsegment, (1 + b + CASE WHEN k <= 37 - c - t THEN 1 ELSE 0 END)::BIGINT AS n FROM f",
     "latency_histogram": f"SELECT event_type, {_LE}, count(sec) AS n, round(sum(sec), 4) AS total FROM (SELECT event_type, value / 10 AS sec FROM events) GROUP BY 1",
-    "csv_windows": "SELECT o_orderkey // 100 AS part, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM orders GROUP BY 1",
     "tumbling_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "sliding_values": "SELECT w AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT value, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1",
     "user_sessions": "WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM k GROUP BY user_id, k",

@@ -167,12 +167,6 @@ def trigram_counts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "node_upserts").where(F.col("label").isNotNull()).select("label").distinct().select(F.explode(T.trigrams("label")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def html_text(s: SparkSession, d: str) -> DataFrame:
-    """Markup made of each document's title and text, and its text again."""
-    page = F.concat(F.lit("<html><head><style>p {x}</style><script>var a = '<b>';</script></head><body><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1>\n<p class=\"x\">A &amp; B &lt;c&gt;</p>\n\n\n\n<p>"), F.col("doc_id").cast("string"), F.lit("</p></body></html>"))
-    return _docs(s, d).select("doc_id", T.strip_html(page).alias("plain"))
-
-
 def _escaped(x: str):
     out = F.coalesce(F.col(x), F.lit(""))
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -180,8 +174,8 @@ def _escaped(x: str):
     return out
 
 
-def html_text_all(s: SparkSession, d: str) -> DataFrame:
-    """The same with the whole text of each document in the page."""
+def html_text(s: SparkSession, d: str) -> DataFrame:
+    """Markup made of each document's title and whole text, and its text again."""
     page = F.concat(F.lit("<html><head><style>p {x}</style><script>var a = '<b>';</script></head><body><h1>"), _escaped("title"), F.lit("</h1>\n<p class=\"x\">"), _escaped("text"), F.lit("</p></body></html>"))
     return _docs(s, d).select("doc_id", T.strip_html(page).alias("plain"))
 
@@ -190,14 +184,11 @@ def _link_line():
     return F.concat(F.lit("see [a](docs/"), F.col("doc_id").cast("string"), F.lit(".md#part) ![i](no.png) [w](https://x.org) <a href=\"../b/"), F.col("source"), F.lit(".html\">b</a> [s](#top)"))
 
 
-def link_targets_all(s: SparkSession, d: str) -> DataFrame:
-    """Links of the line that ``link_targets`` makes and of each document's text."""
+def link_targets(s: SparkSession, d: str) -> DataFrame:
+    """Links of a line made for each document and of its whole text."""
     return _docs(s, d).select("doc_id", F.explode(T.links(F.concat(F.coalesce(_link_line(), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))).alias("target"))
 
 
-def link_targets(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", F.explode(T.links(_link_line())).alias("target"))
-
 
 _W = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _LINES = r"l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(ls[i], '\r$', ''), ' ') AS line, regexp_replace(ls[i], '\r$', '') AS raw FROM (SELECT doc_id, ls, unnest(range(1, (CASE WHEN ls[-1] = '' THEN len(ls) - 1 ELSE len(ls) END) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))"
@@ -228,7 +219,7 @@ _SPLIT_ASKED = "['gear', 'unit', 'pump']"
 
 QUERIES = {f.__name__: f for f in (
     bm25_search, bm25_filtered, postings_size, doc_stats, rrf_fuse, resolve_entity, compose, label_bm25, grep_lines, grep_smart_case, grep_word, grep_context, grep_max_count, grep_count, grep_only, grep_files, grep_multiline,
-    glob_docs, doc_chunk_counts, chunk_neighbours, read_region, whole_documents, structural_edges, parent_edges, text_hashes, normalized_labels, trigram_counts, html_text, link_targets, html_text_all, link_targets_all,
+    glob_docs, doc_chunk_counts, chunk_neighbours, read_region, whole_documents, structural_edges, parent_edges, text_hashes, normalized_labels, trigram_counts, html_text, link_targets,
 )}
 SQL = {
     "bm25_search": "WITH " + _bm25_sql("text", "documents", "doc_id", QUERY.split()) + " SELECT doc_id, round(score, 6) AS score FROM b",
@@ -264,6 +255,4 @@ SQL = {
     "f AS (SELECT u.doc_path, u.ord, c.ord AS p, row_number() OVER (PARTITION BY u.doc_path, u.ord ORDER BY k DESC, c.ord DESC) AS r FROM u JOIN c ON c.doc_path = u.doc_path AND c.location = array_to_string(s[1:k], ' > ') AND c.ord < u.ord) SELECT doc_path || '#' || ord AS efrom, 'PARENT' AS edge_type, doc_path || '#' || p AS eto FROM f WHERE r = 1",
     "normalized_labels": r"SELECT trim(regexp_replace(lower(label), '\s+', ' ', 'g')) AS norm, count(*) AS n FROM nodes WHERE label IS NOT NULL GROUP BY 1",
     "trigram_counts": "SELECT gram, count(*) AS n FROM (SELECT DISTINCT label, substring(lower(label), i, 3) AS gram FROM (SELECT label, unnest(range(1, length(lower(label)) - 1)) AS i FROM (SELECT DISTINCT label FROM node_upserts WHERE label IS NOT NULL AND length(label) >= 3))) GROUP BY gram",
-    "html_text": "SELECT doc_id, regexp_replace(coalesce(regexp_replace(trim(title), '[ \\t\\r]+', ' ', 'g'), '') || chr(10) || 'A & B <c>' || chr(10) || chr(10) || doc_id, '^\\n+', '') AS plain FROM documents",
-    "link_targets": "SELECT doc_id, unnest(['docs/' || doc_id || '.md', '../b/' || source || '.html']) AS target FROM documents",
 }

@@ -45,27 +45,27 @@ def test_ranks_and_communities(spark, folder):
     q = queries()
     even = {x: 1 / len(IDS) for x in IDS}
     want = ranks(sorted(EDGES), even, even, DAMPING)
-    got = {r.id: r.pr for r in q["pagerank_all"](spark, folder).collect()}
+    got = {r.id: r.pr for r in q["pagerank"](spark, folder).collect()}
     assert got == pytest.approx(want, abs=1e-7)
     seed = {x: float(x == "nat:1") for x in IDS}
     both = sorted(EDGES) + [(b, a) for a, b in sorted(EDGES)]
-    assert {r.id: r.pr for r in q["ppr_all"](spark, folder).collect()} == pytest.approx(ranks(both, seed, seed, 1 - ALPHA), abs=1e-7)
+    assert {r.id: r.pr for r in q["ppr"](spark, folder).collect()} == pytest.approx(ranks(both, seed, seed, 1 - ALPHA), abs=1e-7)
     least = {x: "cust:1" for x in IDS} | {"part:3": "part:3"}
-    assert {r.id: r.community for r in q["communities_all"](spark, folder).collect()} == least
-    assert {r.community: r.n for r in q["community_sizes_all"](spark, folder).collect()} == {"cust:1": 12, "part:3": 1}
+    assert {r.id: r.community for r in q["communities"](spark, folder).collect()} == least
+    assert {r.community: r.n for r in q["community_sizes"](spark, folder).collect()} == {"cust:1": 12, "part:3": 1}
     best = sorted(IDS - {"part:3"}, key=lambda x: (-round(want[x], 8), x))
-    top = {(r.community, r.place): r.id for r in q["community_top_all"](spark, folder).collect()}
+    top = {(r.community, r.place): r.id for r in q["community_top"](spark, folder).collect()}
     assert top == {("cust:1", k + 1): best[k] for k in range(3)} | {("part:3", 1): "part:3"}
-    assert [r.id for r in q["related_all"](spark, folder).orderBy("place").collect()] == [x for x in best if x != "nat:1"][:8]
+    assert [r.id for r in q["related"](spark, folder).orderBy("place").collect()] == [x for x in best if x != "nat:1"][:8]
 
 
 def test_sql(spark, folder):
     q = queries()
     rows = lambda name: {tuple(r) for r in q[name](spark, folder).collect()}
-    assert {r[0] for r in rows("sql_window_all")} == IDS
-    assert {r[0] for r in rows("sql_top_all")} == IDS
-    assert rows("sql_grouped_all") == set()
-    assert rows("sql_fuzzy_all") == {("sup:1", "nat:1")}
-    assert rows("sql_self_join_all") == {("cust:1", "reg:0"), ("cust:2", "reg:0"), ("sup:1", "reg:1")}
-    assert rows("sql_sets_all") == {("nat:0",)}
-    assert rows("sql_nested_all") == set()
+    assert {r[0] for r in rows("sql_window")} == IDS
+    assert {r[0] for r in rows("sql_top")} == IDS
+    assert rows("sql_grouped") == set()
+    assert rows("sql_fuzzy") == {("sup:1", "nat:1")}
+    assert rows("sql_self_join") == {("cust:1", "reg:0"), ("cust:2", "reg:0"), ("sup:1", "reg:1")}
+    assert rows("sql_sets") == {("nat:0",)}
+    assert rows("sql_nested") == set()
