@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Direction, repeated edges, loops and extra columns do not matter; an edge with a null end is left out. A node that
     has only a loop is its own component. No edges give no rows.
+    More rounds than ``max_rounds``, which no graph of less than 2^50 nodes should need, are an error, never a part of the result.
     """
     whole = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     loops = whole.where("u = v").select(F.col("u").alias("node"))
@@ -40,6 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components are not done after {max_rounds} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     linked = found.unionByName(roots)

@@ -70,16 +70,11 @@ def covers(options: Column, value: Column) -> Column:
     return F.coalesce(same, F.lit(False)) | F.coalesce(inside, F.lit(False))
 
 
-def active(assignments: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Constraints of each assignment whose condition, if any, holds for it. The constraints are few and checked to be."""
-    small = constraints.limit(100_001)
-    if small.count() > 100_000:
-        raise ValueError("more than 100,000 constraints")
-    cases = assignments.select("row_id").distinct()
-    free = cases.crossJoin(F.broadcast(small.where(F.col("cond_field").isNull())))
-    given = assignments.select("row_id", F.col("field").alias("cond_field"), canonical_scalar("value").alias("_c"))
-    bound = given.join(F.broadcast(small.where(F.col("cond_field").isNotNull()).withColumn("_c", canonical_scalar("cond_value"))), ["cond_field", "_c"]).drop("_c")
-    return free.unionByName(bound.select(*free.columns))
+def _bound(assignments: DataFrame, constraints: DataFrame) -> DataFrame:
+    """``row_id`` and the conditional constraints whose condition holds for it, met by field and value of the condition."""
+    given = assignments.select("row_id", F.col("field").alias("cond_field"), canonical_scalar("value").alias("_c")).distinct()
+    conditional = constraints.where(F.col("cond_field").isNotNull()).withColumn("_c", canonical_scalar("cond_value"))
+    return given.join(conditional, ["cond_field", "_c"]).select("row_id", *constraints.columns)
 
 
 def validate(assignments: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -88,8 +83,18 @@ def validate(assignments: DataFrame, constraints: DataFrame) -> DataFrame:
     Required and forbidden fields, ranges over plain numbers, anchored patterns and value lists; a field without a value
     violates only its being required.
     """
-    live = active(assignments, constraints)
-    joined = live.join(assignments.select("row_id", "field", "value"), ["row_id", "field"], "left")
+    cells = assignments.select("row_id", "field", "value")
+    free = constraints.where(F.col("cond_field").isNull())
+    # A free constraint meets the rows that have its field; only what is required concerns the others.
+    met = free.where("kind <> 'required'").join(cells, "field").select("row_id", *free.columns, "value")
+    needed = free.where("kind = 'required'")
+    there = cells.where(F.coalesce(F.trim("value"), F.lit("")) != "").join(needed.select("field").distinct(), "field", "left_semi")
+    have = cells.select("row_id").distinct().join(there.groupBy("row_id").agg(F.collect_set("field").alias("have")), "row_id", "left")
+    lists = needed.groupBy().agg(F.collect_set("field").alias("need"))
+    lacking = have.crossJoin(F.broadcast(lists)).select("row_id", F.explode(F.array_except("need", F.coalesce("have", F.array().cast("array<string>")))).alias("field"))
+    missing = lacking.join(needed, "field").select("row_id", *free.columns, F.lit(None).cast("string").alias("value"))
+    bound = _bound(assignments, constraints).join(cells, ["row_id", "field"], "left").select("row_id", *free.columns, "value")
+    joined = met.unionByName(missing).unionByName(bound)
     has = F.coalesce(F.trim("value"), F.lit("")) != ""
     number = F.col("value").try_cast("double")
     broken = (
@@ -107,7 +112,10 @@ def validate(assignments: DataFrame, constraints: DataFrame) -> DataFrame:
 def infer_domains(assignments: DataFrame, constraints: DataFrame) -> DataFrame:
     """``row_id, field, lo, hi, options, empty``: what active ranges and value lists leave of each constrained field: the
     narrowest range, and the values that are in every list (and inside the range, if they are numbers)."""
-    live = active(assignments, constraints).where(F.col("kind").isin("range", "enum"))
+    wanted = constraints.where(F.col("kind").isin("range", "enum"))
+    # The result has a row for each row and field that a free constraint names, so here they do meet.
+    free = assignments.select("row_id").distinct().crossJoin(wanted.where(F.col("cond_field").isNull())).select("row_id", *constraints.columns)
+    live = free.unionByName(_bound(assignments, wanted))
     lists = F.col("kind") == "enum"
     grouped = live.groupBy("row_id", "field").agg(
         F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.count(F.when(lists, 1)).alias("n"), F.flatten(F.collect_list(F.when(lists, F.array_distinct("options")))).alias("every")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.text import normalize_answer
+from loam.session import cut_lineage
 
 #: Upper bounds (seconds) of the latency histogram.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -47,14 +51,28 @@ def cumulative_histogram(df: DataFrame, value: str, group: str | None = None, bo
 
 def pareto_frontier(scores: DataFrame, key: str, vector: str) -> DataFrame:
     """Keys that no other dominates (at least as good everywhere, better somewhere). Equal vectors are compared once, so the
-    comparison is between distinct vectors only; their number is checked."""
-    distinct = scores.groupBy(vector).agg(F.min(key).alias("_k"))
-    if distinct.count() > 20_000:
-        raise ValueError("more than 20,000 distinct score vectors")
-    other = distinct.select(F.col(vector).alias("_v"))
-    ge = F.forall(F.zip_with("_v", vector, lambda a, b: a >= b), lambda x: x)
-    beaten = distinct.join(F.broadcast(other), ge & (F.col("_v") != F.col(vector)), "left_semi").select(vector)
-    return scores.join(beaten, vector, "left_anti").select(key)
+    comparison is between distinct vectors, and of each part of these only its own frontier meets the others'. Vectors
+    must be of one length and without nulls."""
+    distinct = scores.select(vector).distinct()
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for pdf in batches:
+            new = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+            kept = new if kept is None else np.concatenate([kept, new])
+            rest, front = kept[np.argsort(-kept.sum(axis=1), kind="stable")], []
+            while len(rest):  # a vector can be dominated only by one of a greater sum
+                front.append(rest[0])
+                rest = rest[~(rest[0] >= rest).all(axis=1)]
+            kept = np.array(front).reshape(len(front), -1)
+        if kept is not None and len(kept):
+            yield pd.DataFrame({"v": list(kept)})
+
+    local = cut_lineage(distinct.select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(own, "v array<double>"))
+    ge = F.forall(F.zip_with("w", "v", lambda a, b: a >= b), lambda x: x)
+    beaten = local.crossJoin(local.withColumnRenamed("v", "w")).where(ge & (F.col("w") != F.col("v"))).select("v").distinct()
+    front = local.join(beaten, "v", "left_anti")
+    return scores.withColumn("v", F.col(vector).cast("array<double>")).join(front, "v", "left_semi").select(key)
 
 
 def largest_remainder(pools: DataFrame, key: str, weight: str, total: int) -> DataFrame:

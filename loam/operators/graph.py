@@ -17,6 +17,10 @@ from loam.session import cut_lineage
 STRUCTURAL, GROUNDING = ("Document", "Section", "Term", "Topic"), ("MENTIONS", "CONTAINS", "CO_OCCURS", "NEXT", "PREV", "SIMILAR")
 #: Damping and rounds of PageRank; restart, rounds and tolerance of the personalized one.
 DAMPING, ROUNDS, ALPHA, EPSILON = 0.85, 30, 0.15, 1e-6
+#: Members of a key that one part of its pairs has.
+KEY_ROWS = 2_000
+#: Steps that a walk has at most.
+DEEPEST = 12
 #: Edges up to which an iterative ranking runs in one task; the count is checked, larger graphs take the distributed loop.
 ONE_TASK_EDGES = 2_000_000
 
@@ -67,8 +71,10 @@ def reach(edges: DataFrame, start: DataFrame, relation: str | None = None, max_d
 
     Grounding relations are never walked. With a relation only edges whose type shares a word with it are, and forward;
     without, all and either way. ``max_visited`` ends the walk after the level on which it is passed. ``bridges`` (``a, b``,
-    see ``bridge_pairs``) are walked from dead ends only, as ``BRIDGE``.
+    see ``bridge_pairs``) are walked from dead ends only, as ``BRIDGE``. Depths are 1 to ``DEEPEST``; others are an error.
     """
+    if not 1 <= max_depth <= DEEPEST:
+        raise ValueError(f"max_depth must be 1 to {DEEPEST}")
     use = edges.where(~F.col("edge_type").isin(*grounding)).select("efrom", "edge_type", "eto")
     if relation is not None:
         use = use.where(F.arrays_overlap(words("edge_type"), words(F.lit(relation))))
@@ -83,7 +89,7 @@ def reach(edges: DataFrame, start: DataFrame, relation: str | None = None, max_d
         steps = steps.unionByName(dead.select("a", F.lit("BRIDGE").alias("via"), "b").distinct())
     seen = start.select("id", F.lit(0).alias("depth"), F.array("id").alias("path")).dropDuplicates(["id"])
     frontier = seen
-    for d in range(1, max(1, min(12, max_depth)) + 1):
+    for d in range(1, max_depth + 1):
         found = frontier.select(F.col("id").alias("a"), "path").join(steps, "a").select(F.col("b").alias("id"), F.concat("path", F.array("via", "b")).alias("path"))
         reached = found.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "path")
         reached = cut_lineage(reached)
@@ -174,7 +180,8 @@ def _rank_in_one_task(ids: DataFrame, links: DataFrame, restart: DataFrame | Non
 
 
 def _rank_distributed(ids: DataFrame, links: DataFrame, restart: DataFrame | None, damping: float, rounds: int, epsilon: float) -> DataFrame:
-    """The iteration as joins and partial sums; the state is cut from its lineage every fifth round."""
+    """The iteration as joins and partial sums; the state is cut from its lineage every fifth round, or
+    every round where each is tested for having settled."""
     n = ids.count()
     if restart is None:
         start = ids.select("id", F.lit(1.0 / max(1, n)).alias("w"))
@@ -192,9 +199,10 @@ def _rank_distributed(ids: DataFrame, links: DataFrame, restart: DataFrame | Non
         flow = rank.join(share, F.col("id") == F.col("a")).groupBy("b").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         joined = start.join(flow, F.col("id") == F.col("b"), "left").crossJoin(F.broadcast(lost))
         new = joined.select("id", ((1 - damping) * F.col("w") + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("w"))).alias("rank"))
-        if k % 5 == 0 or k == rounds:
+        judged = restart is not None and epsilon > 0
+        if k % 5 == 0 or k == rounds or judged:
             new = cut_lineage(new)
-        if restart is not None and k % 5 == 0:
+        if judged:
             moved = new.join(rank.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if moved is not None and moved < epsilon:
                 return new
@@ -257,23 +265,56 @@ def jaccard_links(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def adamic_adar(edges: DataFrame, threshold: float = 0.0, max_degree: int | None = None) -> DataFrame:
-    """``a, b, score``: pairs that are not adjacent by the sum of 1 / ln(degree) over common neighbours of degree above 1.
+    """``a, b, score``: pairs that are not adjacent by the sum of 1 / ln(degree) over common neighbours of degree above 1, more
+    than the threshold.
 
-    ``max_degree`` leaves out common neighbours beyond it, whose pairs would be their square; None keeps them all.
+    Exact by prefix: of its neighbours, weightiest first, a node shows only those without which the rest cannot pass the
+    threshold; hubs weigh least and come last, so above 0 they join few pairs. ``max_degree`` leaves out common neighbours
+    beyond it; None keeps them all.
     """
     pairs = _neighbor_sets(edges)
     d = pairs.groupBy("m").agg(F.count("*").alias("d")).where("d > 1")
     if max_degree is not None:
         d = d.where(F.col("d") <= max_degree)
-    weighted = pairs.join(d, "m").select("n", "m", (1 / F.log("d")).alias("w"))
-    score = weighted.select(F.col("n").alias("a"), "m", "w").join(pairs.select(F.col("n").alias("b"), "m"), "m").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("score"))
-    return score.where(F.col("score") > threshold).join(pairs.select(F.col("n").alias("a"), F.col("m").alias("b")), ["a", "b"], "left_anti")
-
-
-def shared_evidence(edges: DataFrame, edge_type: str = "MENTIONS") -> DataFrame:
-    """``a, b, shared``: pairs of nodes with a common anchor, and how many."""
-    own = edges.where(F.col("edge_type") == edge_type).select(F.col("efrom").alias("a"), F.col("eto").alias("anchor")).distinct()
-    return own.join(own.withColumnRenamed("a", "b"), "anchor").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    weighted = cut_lineage(pairs.join(d, "m").select("n", "m", (1 / F.log("d")).alias("w")))
+    # Sum of the weights from a neighbour on, the weightiest first.
+    rest = F.sum("w").over(Window.partitionBy("n").orderBy("w", F.desc("m")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shown = weighted.withColumn("rest", rest).where(F.col("rest") > threshold - 1e-9).select("n", "m")
+    candidates = pairs_within(shown, "n", "m").select("a", "b").distinct()
+    candidates = candidates.join(pairs.select(F.col("n").alias("a"), F.col("m").alias("b")), ["a", "b"], "left_anti")
+    if threshold <= 0:  # every common neighbour is shown
+        score = pairs_within(weighted, "n", "m", "w").groupBy("a", "b").agg(F.sum("w").alias("score"))
+        return score.where(F.col("score") > threshold).join(candidates, ["a", "b"], "left_semi")
+    half = candidates.join(weighted.select(F.col("n").alias("a"), "m", "w"), "a")
+    score = half.join(weighted.select(F.col("n").alias("b"), "m"), ["b", "m"]).groupBy("a", "b").agg(F.sum("w").alias("score"))
+    return score.where(F.col("score") > threshold)
+
+
+def pairs_within(members: DataFrame, node: str, key: str, *carried: str) -> DataFrame:
+    """``a, b`` (a < b) and the carried columns of a: pairs of nodes that share a key.
+
+    The members of a key of more than ``KEY_ROWS`` are dealt to so many parts that its pairs are spread over tasks.
+    """
+    parts = members.groupBy(key).agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("parts")).where(F.col("parts") > 0)
+    dealt = members.join(parts, key)
+    left = dealt.select(F.col(node).alias("a"), key, *carried, F.pmod(F.xxhash64(node), F.col("parts")).cast("int").alias("part"))
+    right = dealt.select(F.col(node).alias("b"), key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, [key, "part"]).where("a < b").drop("part")
+
+
+def shared_evidence(edges: DataFrame, edge_type: str = "MENTIONS", least: int = 1) -> DataFrame:
+    """``a, b, shared``: pairs of nodes with at least ``least`` common anchors, and how many. Above 1 a node's commonest
+    ``least - 1`` anchors need not be met to find its pairs."""
+    own = edges.where(F.col("edge_type") == edge_type).select(F.col("efrom").alias("n"), F.col("eto").alias("anchor")).distinct()
+    if least <= 1:
+        return pairs_within(own, "n", "anchor").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    own = cut_lineage(own)
+    common = own.join(own.groupBy("anchor").agg(F.count("*").alias("d")), "anchor")
+    place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("d"), "anchor"))
+    candidates = pairs_within(common.withColumn("place", place).where(F.col("place") >= least).select("n", "anchor"), "n", "anchor").select("a", "b").distinct()
+    half = candidates.join(own.select(F.col("n").alias("a"), "anchor"), "a")
+    met = half.join(own.select(F.col("n").alias("b"), "anchor"), ["b", "anchor"])
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def label_jaccard(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -295,9 +336,9 @@ def label_jaccard(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("score")).where(F.col("score") >= threshold)
 
 
-def closure(edges: DataFrame, rules: list[tuple[str, str, str]], fixpoint: bool = False, max_rounds: int = 20) -> DataFrame:
+def closure(edges: DataFrame, rules: list[tuple[str, str, str]], fixpoint: bool = False, max_rounds: int = 100) -> DataFrame:
     """``efrom, edge_type, eto`` of new edges: a rule (p, q, r) makes x-r->z of x-p->y and y-q->z, x not z, unless it is
-    there. One composition; with ``fixpoint`` until nothing is new."""
+    there. One composition; with ``fixpoint`` until nothing is new; more than ``max_rounds`` rounds of it are an error."""
     spark = edges.sparkSession
     table = F.broadcast(spark.createDataFrame(rules, "p string, q string, edge_type string"))
     have = edges.select("efrom", "edge_type", "eto").distinct()
@@ -312,6 +353,8 @@ def closure(edges: DataFrame, rules: list[tuple[str, str, str]], fixpoint: bool
         new = cut_lineage(new)
         if new.isEmpty():
             break
+        if _ + 1 == max_rounds:
+            raise RuntimeError(f"the closure still grows after {max_rounds} rounds")
         made = new if made is None else made.unionByName(new)
         have = cut_lineage(have.unionByName(new))
     return made if made is not None else have.limit(0)

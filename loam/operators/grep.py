@@ -133,17 +133,18 @@ def grep_files(chunks: DataFrame, path: str, text: str, pattern: str, **flags) -
 def grep_multiline(chunks: DataFrame, key: list[str], text: str, pattern: str, **flags) -> DataFrame:
     """``key..., line_no, found``: matches that may cross lines, with the line each begins on."""
     regex = prepare(pattern, multiline=True, **flags)
-    rows = chunks.where(F.col(text).rlike(regex)).select(*key, F.col(text).alias("_t"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"))
-    # The text before the n-th match: what is left of the text once the first n-1 matches have been passed.
+    between = F.call_function("split", F.col(text), F.lit(regex), F.lit(-1))
+    rows = chunks.where(F.col(text).rlike(regex)).select(*key, F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"), between.alias("b"))
+    # What lies before the n-th match: the pieces between matches and the matches before it. A match of no characters at the
+    # beginning has no piece before it.
+    rows = rows.withColumn("b", F.when(F.size("b") <= F.size("m"), F.concat(F.array(F.lit("")), "b")).otherwise(F.col("b")))
+    ends = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     step = F.aggregate(
-        "m",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_no:int,found:string>>").alias("out")),
+        F.arrays_zip("m", F.slice("b", F.lit(1), F.size("m")).alias("b")),
+        F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line_no:int,found:string>>").alias("out")),
         lambda acc, x: F.struct(
-            (F.call_function("locate", x, F.col("_t"), acc["at"] + 1) + F.length(x) - 1).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((F.size(F.split(F.substring(F.col("_t"), F.lit(1), F.call_function("locate", x, F.col("_t"), acc["at"] + 1) - 1), "\n"))).alias("line_no"), x.alias("found"))),
-            ).alias("out"),
+            (acc["line"] + ends(x["b"]) + ends(x["m"])).alias("line"),
+            F.concat(acc["out"], F.array(F.struct((acc["line"] + ends(x["b"])).alias("line_no"), x["m"].alias("found")))).alias("out"),
         ),
     )
     return rows.select(*key, F.explode(step["out"]).alias("x")).select(*key, "x.line_no", F.trim("x.found").alias("found")).distinct()

@@ -106,10 +106,19 @@ def resolve(spark: SparkSession, sql: str, labeled: DataFrame) -> str:
 def run(spark: SparkSession, sql: str, relations: dict[str, DataFrame], limit: int | None = ROWS, fuzzy: bool = True) -> DataFrame:
     """The rows of a checked query over the given relations, at most ``limit`` (the tool's answer has fifty)."""
     check(spark, sql)
-    for name, df in relations.items():
-        if name in RELATIONS:
-            df.createOrReplaceTempView(name)
     if fuzzy and "edges_labeled" in relations:
         sql = resolve(spark, sql, relations["edges_labeled"])
-    out = spark.sql(sql)
+    # The relations are the session's only while the query is analyzed; views of the caller's by these names come back.
+    known = {v.name for v in spark.catalog.listTables() if v.isTemporary}
+    given = {name: df for name, df in relations.items() if name in RELATIONS}
+    kept = {name: spark.table(name) for name in given if name in known}
+    try:
+        for name, df in given.items():
+            df.createOrReplaceTempView(name)
+        out = spark.sql(sql)
+    finally:
+        for name in given:
+            spark.catalog.dropTempView(name)
+            if name in kept:
+                kept[name].createOrReplaceTempView(name)
     return out if limit is None else out.limit(limit)

@@ -12,6 +12,8 @@ from loam.sources.chunkers import WINDOW_CHARS
 
 #: Bounds of repeated cells and of a table.
 MOST_REPEATS, MOST_CELLS = 4096, 1_000_000
+#: Fixed value: columns that the format allows a sheet.
+MOST_COLUMNS = 16_384
 
 
 def _local(tag: str) -> str:
@@ -109,7 +111,9 @@ def _xlsx(z: zipfile.ZipFile) -> list[tuple[str, object]]:
                     value = shared[int(value)]
                 elif c.get("t") == "inlineStr":
                     value = _text(c)
-                cells[min(col, MOST_REPEATS)] = value
+                if col >= MOST_COLUMNS:
+                    raise ValueError(f"a cell in column {col + 1}; a sheet has {MOST_COLUMNS} at most")
+                cells[col] = value
             rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
         out.append(("h1", titles[k] if k < len(titles) else f"Sheet{k + 1}"))
         out.append(("table", [r for r in rows if any(r)]))
