@@ -13,10 +13,35 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DONE = ("indexed", "removed")
 
 
+def _sum(df: DataFrame) -> Column:
+    """The checksum of a signature where it has one."""
+    kind = df.schema["file_sig"].dataType
+    return F.col("file_sig.checksum") if isinstance(kind, StructType) and "checksum" in kind.names else F.lit(None).cast("string")
+
+
+def same_signature(seen: Column, taken: Column) -> Column:
+    """Equal times and sizes, nulls included, and equal checksums where both sides have one."""
+    sums = F.coalesce(seen["checksum"] == taken["checksum"], F.lit(True))
+    return seen["mtime_secs"].eqNullSafe(taken["mtime_secs"]) & seen["size"].eqNullSafe(taken["size"]) & sums
+
+
+def with_checksums(listing: DataFrame, root: str) -> DataFrame:
+    """A listing (``doc_path, file_sig, ...``) whose signatures also have the SHA-256 of each file below a folder, so that a
+    file rewritten within a second under its old size is seen to differ. Reads every file; gone files have none."""
+    files = listing.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.regexp_replace(F.lit(root), "^[a-z]+:/*", "/")
+    own = F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 1, F.lit(1 << 30))
+    sums = files.select(canonical_path(own).alias("_p"), F.sha2("content", 256).alias("_c"))
+    sig = F.struct(F.col("file_sig.mtime_secs").alias("mtime_secs"), F.col("file_sig.size").alias("size"), F.col("_c").alias("checksum"))
+    joined = listing.withColumn("_p", canonical_path(F.col("doc_path"))).join(sums, "_p", "left")
+    return joined.withColumn("file_sig", F.when(F.col("file_sig").isNotNull(), sig)).drop("_p", "_c")
+
+
 def canonical_path(path: Column) -> Column:
     """A path in one spelling: forward slashes, none doubled, no leading ``./`` or ``/``, no surrounding blanks."""
     slashed = F.regexp_replace(F.trim(path), r"[\\/]+", "/")
@@ -35,6 +60,7 @@ def latest_listing(listing: DataFrame) -> DataFrame:
         F.col("file_sig").isNotNull().alias("there"),
         F.col("file_sig.mtime_secs").alias("mtime"),
         F.col("file_sig.size").alias("size"),
+        _sum(listing).alias("checksum"),
     )
     return (
         listing.where(F.col("doc_path").isNotNull())
@@ -44,7 +70,7 @@ def latest_listing(listing: DataFrame) -> DataFrame:
         .select(
             "doc_path",
             F.col("o.there").alias("there"),
-            F.struct(F.col("o.mtime").alias("mtime_secs"), F.col("o.size").alias("size")).alias("seen_sig"),
+            F.struct(F.col("o.mtime").alias("mtime_secs"), F.col("o.size").alias("size"), F.col("o.checksum").alias("checksum")).alias("seen_sig"),
         )
     )
 
@@ -62,6 +88,7 @@ def committed_state(manifest: DataFrame, runs: DataFrame) -> DataFrame:
         ((F.col("outcome") == "indexed") & F.col("file_sig").isNotNull()).alias("taken"),
         F.col("file_sig.mtime_secs").alias("mtime"),
         F.col("file_sig.size").alias("size"),
+        _sum(manifest).alias("checksum"),
     )
     return (
         manifest.where(F.col("outcome").isin(*DONE) & F.col("doc_path").isNotNull())
@@ -72,7 +99,7 @@ def committed_state(manifest: DataFrame, runs: DataFrame) -> DataFrame:
         .select(
             "doc_path",
             F.col("o.taken").alias("taken"),
-            F.struct(F.col("o.mtime").alias("mtime_secs"), F.col("o.size").alias("size")).alias("taken_sig"),
+            F.struct(F.col("o.mtime").alias("mtime_secs"), F.col("o.size").alias("size"), F.col("o.checksum").alias("checksum")).alias("taken_sig"),
         )
     )
 
@@ -81,7 +108,7 @@ def pending_changes(listing: DataFrame, manifest: DataFrame, runs: DataFrame) ->
     """The files the next run must handle: ``doc_path, change, file_sig``.
 
     ``new``: present, nothing committed or last committed as removed. ``changed``: present under another signature
-    (a signature with a null part differs from one without). ``removed``: committed as present, but last seen to be
+    (a signature with a null part differs from one without; checksums, where both have one, must agree as well). ``removed``: committed as present, but last seen to be
     gone or not listed. An empty listing makes every committed file ``removed``; an empty manifest every present file
     ``new``. Repeated rows change nothing. Extra columns are ignored.
     """
@@ -89,7 +116,7 @@ def pending_changes(listing: DataFrame, manifest: DataFrame, runs: DataFrame) ->
     present, held = F.coalesce("there", F.lit(False)), F.coalesce("taken", F.lit(False))
     change = (
         F.when(present & ~held, "new")
-        .when(present & held & ~F.col("seen_sig").eqNullSafe(F.col("taken_sig")), "changed")
+        .when(present & held & ~same_signature(F.col("seen_sig"), F.col("taken_sig")), "changed")
         .when(~present & held, "removed")
     )
     return (
@@ -120,9 +147,10 @@ def stale_nodes(nodes: DataFrame, listing: DataFrame, manifest: DataFrame, runs:
     state = committed_state(manifest, runs).select("doc_path", "taken", "taken_sig")
     changes = pending_changes(listing, manifest, runs).select("doc_path", "change")
     own = nodes.where(F.col("prov.file_sig").isNotNull() & F.col("prov.source_path").isNotNull()).select(
-        "id", canonical_path(F.col("prov.source_path")).alias("doc_path"), F.col("prov.file_sig").alias("node_sig")
+        "id", canonical_path(F.col("prov.source_path")).alias("doc_path"), F.col("prov.file_sig.mtime_secs").alias("node_mtime"), F.col("prov.file_sig.size").alias("node_size")
     )
-    backed = F.coalesce(F.col("taken") & F.col("node_sig").eqNullSafe(F.col("taken_sig")), F.lit(False))
+    same = F.col("node_mtime").eqNullSafe(F.col("taken_sig.mtime_secs")) & F.col("node_size").eqNullSafe(F.col("taken_sig.size"))
+    backed = F.coalesce(F.col("taken") & same, F.lit(False))
     return (
         own.distinct()
         .join(state, "doc_path", "left")
@@ -141,29 +169,71 @@ class Ledger:
     number and overwrites. A crash after it repeats nothing.
     """
 
-    MANIFEST = "run_id BIGINT, doc_path STRING, file_sig STRUCT<mtime_secs: BIGINT, size: BIGINT>, outcome STRING, written_at TIMESTAMP"
+    SIGNATURE = "STRUCT<mtime_secs: BIGINT, size: BIGINT, checksum: STRING>"
+    MANIFEST = f"run_id BIGINT, doc_path STRING, file_sig {SIGNATURE}, outcome STRING, written_at TIMESTAMP"
     RUNS = "run_id BIGINT, attempt STRING, status STRING"
+    #: Batches after which the latest entry of every file is written as a state, and earlier parts need not be read again.
+    COMPACT = 32
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
+    def _numbers(self, folder: str, mark: str = "") -> list[int]:
+        """The numbers in the names of a folder's subfolders that hold a file of the mark's name."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        system = path.getFileSystem(conf)
+        if not system.exists(path):
+            return []
+        found = [s.getPath() for s in system.listStatus(path) if "=" in s.getPath().getName()]
+        return sorted(int(p.getName().split("=")[1]) for p in found if not mark or system.exists(jvm.org.apache.hadoop.fs.Path(p, mark)))
+
+    def _drop(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _state(self) -> int:
+        """The last batch that a whole state was written after; 0 for none."""
+        return max([n for n in self._numbers("state", "_SUCCESS") if n <= max(self._done(), default=0)], default=0)
+
+    def _done(self) -> list[int]:
+        """Committed batches; those before the last state are removed as they are compacted."""
+        return self._numbers("runs", "_SUCCESS")
+
     def runs(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/runs")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(self.RUNS).parquet(f"{self.root}/runs") if there else self.spark.createDataFrame([], self.RUNS)
+        """A row ``run_id, attempt, status`` for each batch that counts: the committed ones since the last state, and those
+        whose entries the state holds."""
+        done, state = self._done(), self._state()
+        own = self.spark.read.schema(self.RUNS).parquet(*[f"{self.root}/runs/batch={b}" for b in done]) if done else self.spark.createDataFrame([], self.RUNS)
+        if not state:
+            return own
+        held = self.spark.read.schema(self.MANIFEST).parquet(f"{self.root}/state/batch={state}").select("run_id").distinct()
+        return own.unionByName(held.select("run_id", F.lit(None).cast("string").alias("attempt"), F.lit("ok").alias("status"))).dropDuplicates(["run_id"])
 
     def manifest(self) -> DataFrame:
-        """Entries of committed batches only; a part that a failed attempt left is not even read."""
-        done = sorted(r[0] for r in self.runs().where(F.col("status") == "ok").select("run_id").distinct().collect())
-        parts = [f"{self.root}/manifest/batch={b}" for b in done]
+        """Entries of committed batches: the last state and the parts since. What a failed attempt left is not even read, and
+        no more than ``COMPACT`` parts are open at once, however many batches there were."""
+        state = self._state()
+        parts = [f"{self.root}/manifest/batch={b}" for b in self._done() if b > state]
+        if state:
+            parts.insert(0, f"{self.root}/state/batch={state}")
         return self.spark.read.schema(self.MANIFEST).parquet(*parts) if parts else self.spark.createDataFrame([], self.MANIFEST)
 
+    def _compact(self, batch: int) -> None:
+        """Write the state after a batch, then drop what it holds. A crash between leaves both, which changes nothing."""
+        latest = F.max_by(F.struct("run_id", "file_sig", "outcome", "written_at"), F.struct("run_id", "written_at"))
+        rows = self.manifest().groupBy("doc_path").agg(latest.alias("e")).select("e.run_id", "doc_path", "e.file_sig", "e.outcome", "e.written_at")
+        rows.write.mode("overwrite").parquet(f"{self.root}/state/batch={batch}")
+        for old in [b for b in self._done() if b < batch]:
+            self._drop(f"runs/batch={old}")
+            self._drop(f"manifest/batch={old}")
+        for old in [b for b in self._numbers("state") if b < batch]:
+            self._drop(f"state/batch={old}")
+
     def take(self, listing: DataFrame, process: Callable[[DataFrame], DataFrame], out: str) -> int | None:
-        """Handle what is pending; the batch's number, or None where nothing is."""
-        runs = self.runs()
-        last = runs.where(F.col("status") == "ok").agg(F.max("run_id")).first()[0]
-        batch = 1 if last is None else last + 1
-        changes = pending_changes(listing, self.manifest(), runs)
+        """Handle what is pending; the batch's number, or None where nothing is, and then nothing is left behind."""
+        batch = max(self._done(), default=0) + 1
+        changes = pending_changes(listing, self.manifest(), self.runs())
         part = f"{self.root}/manifest/batch={batch}"
         (
             changes.select(
@@ -177,8 +247,11 @@ class Ledger:
         )
         fixed = self.spark.read.parquet(part)
         if fixed.isEmpty():
+            self._drop(f"manifest/batch={batch}")
             return None
         process(fixed.select("doc_path", "change", "file_sig")).write.mode("overwrite").parquet(f"{out}/batch_id={batch}")
         record = self.spark.createDataFrame([(batch, uuid.uuid4().hex, "ok")], self.RUNS)
         record.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/runs/batch={batch}")
+        if batch % self.COMPACT == 0:
+            self._compact(batch)
         return batch

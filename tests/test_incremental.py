@@ -76,3 +76,32 @@ def test_ledger_survives_a_crash_and_repeats_nothing(spark, tmp_path):
     got = spark.read.parquet(out).orderBy("batch_id", "doc_path").select("batch_id", "doc_path", "change").collect()
     assert [tuple(r) for r in got] == [(1, "a", "new"), (1, "b", "new"), (2, "a", "changed"), (2, "b", "removed")]
     assert spark.read.parquet(out).groupBy("batch_id", "doc_path").count().where(F.col("count") > 1).isEmpty()
+
+
+def test_ledger_compacts_its_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Ledger, "COMPACT", 3)
+    root, out = str(tmp_path / "ledger"), str(tmp_path / "out")
+    ledger, keep = Ledger(spark, root), lambda df: df.select("doc_path", "change")
+    for k in range(1, 8):
+        now = [("a", (k, 1), T[k], None), ("b", (1, 1), T[0], None)] + ([("c", (1, 1), T[0], None)] if k < 5 else [])
+        listing = spark.createDataFrame(now, LIST)
+        assert Ledger(spark, root).take(listing, keep, out) == k
+        assert ledger.take(listing, keep, out) is None
+    assert ledger._state() == 6 and ledger._done() == [6, 7] and len(ledger.manifest().inputFiles()) < 12
+    got = {(r.batch_id, r.doc_path, r.change) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, "a", "new"), (1, "b", "new"), (1, "c", "new"), (5, "c", "removed"), *((k, "a", "changed") for k in range(2, 8))}
+
+
+def test_checksums_tell_files_of_one_second_and_size_apart(spark, tmp_path):
+    from loam.operators.incremental import with_checksums
+
+    folder, out = tmp_path / "corpus", str(tmp_path / "out")
+    (folder / "sub").mkdir(parents=True)
+    ledger, keep = Ledger(spark, str(tmp_path / "ledger")), lambda df: df.select("doc_path", "change")
+    listing = spark.createDataFrame([("sub/a.md", (1, 3), T[0], None), ("./b.md", (1, 3), T[0], None)], LIST)
+    for text, want in (("one", 1), ("one", None), ("two", 2)):
+        (folder / "sub" / "a.md").write_text(text)
+        (folder / "b.md").write_text("same")
+        assert ledger.take(with_checksums(listing, str(folder)), keep, out) == want
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/batch_id=2").collect()] == [("sub/a.md", "changed")]
+    assert ledger.take(listing, keep, out) is None  # a listing without checksums goes by time and size
