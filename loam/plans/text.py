@@ -26,11 +26,27 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_search(s: SparkSession, d: str) -> DataFrame:
-    return S.bm25_search(_docs(s, d), "doc_id", "text", QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    return S.bm25_search(_docs(s, d), "doc_id", "text", QUERY, analyzer=T.words).select("doc_id", F.round("score", 6).alias("score"))
+
+
+STEMMED = "sensors alarms"
+
+
+def bm25_stemmed(s: SparkSession, d: str) -> DataFrame:
+    """The default search, by stems."""
+    return S.bm25_search(_docs(s, d), "doc_id", "text", STEMMED).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def bm25_postings(s: SparkSession, d: str) -> DataFrame:
+    """The same ranking as ``bm25_search`` from an inverted index, of which only the query's terms are read."""
+    docs = _docs(s, d)
+    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.words("text"))).alias("average")).first()
+    index = S.postings(docs, "doc_id", "text")
+    return S.search_postings(index, "doc_id", QUERY.split(), sizes.n, sizes.average, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
-    return S.bm25_search(_docs(s, d), "doc_id", "text", QUERY, keep=F.col("source").rlike(T.glob_regex("manual*")) & (F.col("file_type") == "docx")).select("doc_id", F.round("score", 6).alias("score"))
+    return S.bm25_search(_docs(s, d), "doc_id", "text", QUERY, analyzer=T.words, keep=F.col("source").rlike(T.glob_regex("manual*")) & (F.col("file_type") == "docx")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def postings_size(s: SparkSession, d: str) -> DataFrame:
@@ -45,7 +61,7 @@ def doc_stats(s: SparkSession, d: str) -> DataFrame:
 
 def rrf_fuse(s: SparkSession, d: str) -> DataFrame:
     def ranked(q: str) -> DataFrame:
-        top = S.bm25_search(_docs(s, d), "doc_id", "text", q, 50)
+        top = S.bm25_search(_docs(s, d), "doc_id", "text", q, 50, analyzer=T.words)
         return top.select("doc_id", (F.row_number().over(Window.orderBy(F.desc(F.round("score", 6)), "doc_id")) - 1).alias("rank"))
 
     return S.reciprocal_rank_fusion(ranked("pressure sensor"), ranked("sensor alarm"), "doc_id", both=1.5).select("doc_id", F.round("score", 6).alias("score"))
@@ -191,6 +207,21 @@ def link_targets(s: SparkSession, d: str) -> DataFrame:
 
 
 _W = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+#: Forms of the words of ``STEMMED`` by stem, in texts stemmed as English and as Russian, which leaves Latin words alone.
+_FORMS = tuple((tuple(x + end for end in ("", "s", "e", "es", "ed", "ing")), (x,)) for x in ("sensor", "alarm"))
+
+
+def _stemmed_sql() -> str:
+    forms = lambda words: ", ".join(f"'{w}'" for w in words)
+    counts = ", ".join(f"len(list_filter(w, lambda x: (NOT r AND x IN ({forms(en)})) OR (r AND x IN ({forms(ru)})))) AS t{i}" for i, (en, ru) in enumerate(_FORMS))
+    part = " + ".join(f"(SELECT ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) FROM st) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / (SELECT av FROM st)))" for i in range(len(_FORMS)))
+    return (
+        f"w AS (SELECT doc_id, {_W.format('text')} AS w, coalesce(regexp_matches(text, '[\u0400-\u04FF]'), false) AS r FROM documents), c AS (SELECT doc_id, len(w) AS len, {counts} FROM w), "
+        "st AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c), "
+        f"b AS (SELECT doc_id, {part} AS score FROM c WHERE t0 > 0 OR t1 > 0 ORDER BY score DESC, doc_id LIMIT 20)"
+    )
+
+
 _LINES = r"l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(ls[i], '\r$', ''), ' ') AS line, regexp_replace(ls[i], '\r$', '') AS raw FROM (SELECT doc_id, ls, unnest(range(1, (CASE WHEN ls[-1] = '' THEN len(ls) - 1 ELSE len(ls) END) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))"
 
 
@@ -218,11 +249,13 @@ _CW = f"list_distinct(list_filter(string_split(trim(regexp_replace(lower({{0}}),
 _SPLIT_ASKED = "['gear', 'unit', 'pump']"
 
 QUERIES = {f.__name__: f for f in (
-    bm25_search, bm25_filtered, postings_size, doc_stats, rrf_fuse, resolve_entity, compose, label_bm25, grep_lines, grep_smart_case, grep_word, grep_context, grep_max_count, grep_count, grep_only, grep_files, grep_multiline,
+    bm25_search, bm25_stemmed, bm25_postings, bm25_filtered, postings_size, doc_stats, rrf_fuse, resolve_entity, compose, label_bm25, grep_lines, grep_smart_case, grep_word, grep_context, grep_max_count, grep_count, grep_only, grep_files, grep_multiline,
     glob_docs, doc_chunk_counts, chunk_neighbours, read_region, whole_documents, structural_edges, parent_edges, text_hashes, normalized_labels, trigram_counts, html_text, link_targets,
 )}
 SQL = {
     "bm25_search": "WITH " + _bm25_sql("text", "documents", "doc_id", QUERY.split()) + " SELECT doc_id, round(score, 6) AS score FROM b",
+    "bm25_postings": "WITH " + _bm25_sql("text", "documents", "doc_id", QUERY.split()) + " SELECT doc_id, round(score, 6) AS score FROM b",
+    "bm25_stemmed": "WITH " + _stemmed_sql() + " SELECT doc_id, round(score, 6) AS score FROM b",
     "bm25_filtered": "WITH " + _bm25_sql("text", "documents", "doc_id", QUERY.split(), "coalesce(source LIKE 'manual%' AND file_type = 'docx', false)") + " SELECT doc_id, round(score, 6) AS score FROM b",
     "postings_size": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_W.format('text')}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 5",
     "doc_stats": f"SELECT count(*) AS n_docs, sum(n) AS n_tokens, max(n) AS longest, round(avg(n), 6) AS average FROM (SELECT len({_W.format('text')}) AS n FROM documents)",

@@ -99,13 +99,56 @@ def test_multiline(spark):
 def test_search_with_stems_and_postings(spark):
     df = spark.createDataFrame([(1, "the pumps were running"), (2, "a valve"), (3, "pump pump pump"), (4, None)], "id BIGINT, text STRING")
     assert [r.id for r in S.bm25_search(df, "id", "text", "pump running", 5, analyzer=stemmed_words).collect()] == [1, 3]
-    plain = {r.id: round(r.score, 6) for r in S.bm25_search(df, "id", "text", "pump valve", 5).collect()}
+    plain = {r.id: round(r.score, 6) for r in S.bm25_search(df, "id", "text", "pump valve", 5, analyzer=T.words).collect()}
     index = S.postings(df, "id", "text")
     stats = df.agg(F.count("*"), F.avg(F.size(T.words("text")))).first()
     assert {r.id: round(r.score, 6) for r in S.search_postings(index, "id", ["pump", "valve"], stats[0], stats[1], 5).collect()} == plain
     assert S.bm25_search(df.limit(0), "id", "text", "pump", 5).count() == 0
 
 
+def test_default_search_is_stemmed(spark):
+    rows = [(1, "the pumps were running"), (2, "a valve"), (3, "pump pump pump"), (4, None), (5, "насосы pump"), (6, "без pumps насоса"), (7, "Ёлки у насоса")]
+    df = spark.createDataFrame(rows, "id BIGINT, text STRING")
+    for query in ("pump running", "насос", "елка", "pumps pump", "..", "valves насосами"):
+        slow = {r.id: round(r.score, 9) for r in S.bm25_search(df, "id", "text", query, 9, analyzer=stemmed_words).collect()}
+        assert {r.id: round(r.score, 9) for r in S.bm25_search(df, "id", "text", query, 9).collect()} == slow, query
+
+
+def test_label_similarity_of_equal_labels(spark):
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    labels = [" ".join(rng.choice("pump valve seal motor filter".split()) for _ in range(rng.randrange(1, 4))) for _ in range(40)] + ["pump seal"] * 20
+    ids = [f"n{k:03}" for k in range(len(labels))]
+    df = spark.createDataFrame(list(zip(ids, labels)), "id STRING, label STRING")
+    bags = [Counter(x.split()) for x in labels]
+    n, average = len(bags), sum(sum(b.values()) for b in bags) / len(bags)
+    d = Counter(w for b in bags for w in b)
+    import math
+
+    weight = lambda w, b: math.log(1 + (n - d[w] + 0.5) / (d[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / average))
+    want = defaultdict(float)
+    for q, bag in enumerate(bags):
+        score = [sum(weight(w, other) for w in bag if w in other) for other in bags]
+        best = sorted((k for k in range(n) if score[k] > 0), key=lambda k: (-round(score[k], 9), ids[k]))[:6]
+        if q in best:
+            for k in best:
+                if k != q and score[k] / score[q] >= 0.3:
+                    pair = tuple(sorted((ids[q], ids[k])))
+                    want[pair] = max(want[pair], score[k] / score[q])
+    got = {(r.a, r.b): r.ratio for r in S.label_similarity(df, "id", "label").collect()}
+    assert got == pytest.approx(dict(want))
+
+
+def test_places_of_matches_over_lines(spark):
+    rows = [(1, "concat\ncat"), (2, "\n\nx\nab\nab"), (3, "aaa\nb")]
+    df = spark.createDataFrame(rows, "id BIGINT, text STRING")
+    found = lambda pattern: sorted((r.id, r.line_no, r.found) for r in R.grep_multiline(df, ["id"], "text", pattern).collect())
+    assert found(r"\bcat\b") == [(1, 2, "cat")]
+    assert found("ab") == [(2, 4, "ab"), (2, 5, "ab")]
+    assert found(r"a\nb") == [(3, 1, "a\nb")]
+
+
 def test_csp():
     header, rows = C.parse_csp('a\tb\n"x ""q"" y"\t1\n\nz\n2\t3\t\t\n')
     assert (header, rows) == (["a", "b"], [['x "q" y', "1"], ["z", ""], ["2", "3"]])

@@ -137,3 +137,66 @@ def test_bridges(spark):
     assert {r.id for r in G.reach(edges, start, "caused by").collect()} == {"a"}
     got = {r.id: r.path for r in G.reach(edges, start, "caused by", bridges=pairs).collect()}
     assert set(got) == {"a", "b", "c"} and got["c"] == ["s", "CAUSED_BY", "a", "BRIDGE", "b", "CAUSED_BY", "c"]
+
+
+def test_pairs_of_hubs_against_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    from loam.operators import graph as G
+
+    monkeypatch.setattr(G, "KEY_ROWS", 3)
+    rng = random.Random(6)
+    links = {(f"n{rng.randrange(14)}", "MENTIONS", f"m{rng.randrange(9)}") for _ in range(60)} | {(f"n{k}", "MENTIONS", "hub") for k in range(12)}
+    edges = spark.createDataFrame(sorted(links), "efrom STRING, edge_type STRING, eto STRING")
+    near = {}
+    for a, _, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    pairs = [(a, b) for a in near for b in near if a < b]
+    score = {p: sum(1 / math.log(len(near[m])) for m in near[p[0]] & near[p[1]] if len(near[m]) > 1) for p in pairs if p[1] not in near[p[0]]}
+    for threshold in (0.0, 0.5, 1.1):
+        got = {(r.a, r.b): r.score for r in G.adamic_adar(edges, threshold).collect()}
+        assert got == pytest.approx({p: x for p, x in score.items() if x > threshold})
+    shared = {(a, b): len({m for x, _, m in links if x == a} & {m for x, _, m in links if x == b}) for a, b in pairs}
+    for least in (1, 2, 4):
+        assert {(r.a, r.b): r.shared for r in G.shared_evidence(edges, least=least).collect()} == {p: n for p, n in shared.items() if n >= least}
+
+
+def test_unfinished_results_are_errors(spark):
+    from loam.operators import graph as G
+    from loam.operators.components import connected_components
+
+    chain = spark.createDataFrame([(f"{k:03}", "R", f"{k + 1:03}") for k in range(64)], "efrom STRING, edge_type STRING, eto STRING")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, "efrom", "eto", max_rounds=1)
+    with pytest.raises(RuntimeError):
+        G.closure(chain, [("R", "R", "R")], fixpoint=True, max_rounds=2)
+    with pytest.raises(ValueError):
+        G.reach(chain, spark.createDataFrame([("000",)], "id STRING"), max_depth=40)
+
+
+def test_both_rankings_settle_alike(spark):
+    import random
+
+    from loam.operators import graph as G
+
+    rng = random.Random(3)
+    ids = [f"n{k}" for k in range(30)]
+    nodes = spark.createDataFrame([(x,) for x in ids], "id STRING")
+    edges = spark.createDataFrame([(rng.choice(ids), "R", rng.choice(ids)) for _ in range(70)], "efrom STRING, edge_type STRING, eto STRING")
+    seeds = spark.createDataFrame([("n3", 1.0)], "id STRING, w DOUBLE")
+    one = {r.id: r["rank"] for r in G.personalized_pagerank(nodes, edges, seeds, epsilon=1e-3).collect()}
+    many = {r.id: r["rank"] for r in G.personalized_pagerank(nodes, edges, seeds, epsilon=1e-3, one_task_edges=0).collect()}
+    assert many == pytest.approx(one, abs=1e-12)
+
+
+def test_relations_of_a_query_do_not_stay(spark):
+    from loam.operators import sqlsurface as Q
+
+    spark.range(3).withColumnRenamed("id", "mine").createOrReplaceTempView("nodes")
+    given = {"nodes": spark.createDataFrame([("a", "T", "x")], "id STRING, node_type STRING, label STRING"), "edges": spark.createDataFrame([("a", "R", "b")], "efrom STRING, edge_type STRING, eto STRING")}
+    out = Q.run(spark, "SELECT n.id FROM nodes n JOIN edges e ON e.efrom = n.id", given)
+    assert spark.table("nodes").columns == ["mine"] and not spark.catalog.tableExists("edges")
+    assert [r.id for r in out.collect()] == ["a"]
+    spark.catalog.dropTempView("nodes")
