@@ -41,6 +41,8 @@ TELLING = 1.5
 #: Every how many reviewed documents one is held out, the scores tried on them as the least of an abusive document, and the
 #: number of those reviewed as abusive that it takes; with fewer the last score holds.
 HELD, THRESHOLDS, TELLING_HELD = 6, (0.5, 0.6, 0.7, 0.8, 0.9), 10
+#: Windows scored at once: as many as keep their states within a core's cache.
+SCORED = 512
 #: Words and windows a worker remembers.
 MEMO_WORDS, MEMO_WINDOWS = 300_000, 600_000
 
@@ -126,11 +128,11 @@ class Vocabulary:
         for text in texts:
             # A quoted cell of a delimited line begins a word of its own.
             tokens = text.replace(',"', " ").replace(';"', " ").split() if text else ()
-            before = len(coded)
-            for t in tokens:
-                k = get(t)
-                coded.append(new(t) if k is None else k)
-            lengths.append(len(coded) - before)
+            found = list(map(get, tokens))
+            if None in found:
+                found = [new(t) if (k := get(t)) is None else k for t in tokens]
+            coded += found
+            lengths.append(len(found))
         code = np.array(coded, np.int64)
         text_of = np.repeat(np.arange(len(texts)), lengths)
         return code, text_of
@@ -232,7 +234,9 @@ class Network:
             gates = _sigmoid(z[t, :, : 2 * h] + a[:, : 2 * h])
             r, k = gates[:, :h], gates[:, h:]
             c = np.tanh(z[t, :, 2 * h :] + r * a[:, 2 * h :])
-            new = np.where(mask[t][:, None], k * state + (1 - k) * c, state)
+            new = c + k * (state - c)
+            if not mask[t].all():
+                new = np.where(mask[t][:, None], new, state)
             if keep:
                 saved.append((state, r, k, c, a[:, 2 * h :]))
             state = states[t] = new
@@ -331,8 +335,8 @@ class Classifier:
         length = (rows > 0).sum(axis=1)
         order = np.argsort(length, kind="stable")
         out = np.zeros(len(rows), np.float32)
-        for at in range(0, len(rows), 2048):
-            part = order[at : at + 2048]
+        for at in range(0, len(rows), SCORED):
+            part = order[at : at + SCORED]
             steps = max(1, int(length[part[-1]]))
             r = rows[part, :steps].T
             out[part] = _sigmoid(self.network.forward(self.zf[r], self.zb[r], r > 0))
