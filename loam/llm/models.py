@@ -6,6 +6,7 @@ kept in memory only. The files are pickles, so the folder must be one that only
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
 from collections import OrderedDict
@@ -14,8 +15,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Models a session keeps in memory.
-KEPT = 6
+#: Models a session keeps in memory, of different kinds.
+KEPT = 3
 _KEPT: OrderedDict[str, Any] = OrderedDict()
 
 
@@ -63,7 +64,7 @@ def load_model(spark: SparkSession, path: str) -> Any:
 
 
 def fitted(name: str, fit: Callable[..., Any], *tables: DataFrame) -> Any:
-    """``fit(*tables)``, or what it gave before for tables of the same files."""
+    """``fit(*tables)``, or what it gave before for tables of the same files. Of a kind (``name``) one model is kept in memory."""
     spark = tables[0].sparkSession
     of = signature(*tables)
     if of is None:
@@ -80,6 +81,10 @@ def fitted(name: str, fit: Callable[..., Any], *tables: DataFrame) -> Any:
         except FileNotFoundError:
             pass
     if model is None:
+        # A model of the same kind for other files makes room first: the driver need not hold both.
+        for other in [k for k in _KEPT if k.startswith(f"{name}-")]:
+            del _KEPT[other]
+        gc.collect()
         model = fit(*tables)
         if folder:
             save_model(spark, model, f"{folder}/{key}.pickle")
