@@ -313,7 +313,8 @@ def defective_pairs(cases: DataFrame, episodes: DataFrame, identifier: Identifie
     schema = "pair_kind string, pair_id string, words array<string>, family bigint, declines boolean, asked int, foreign boolean, broken boolean, grams array<string>"
     judged = cut_lineage(spread(opened).mapInPandas(lambda b: _judge_text(shared, b), schema))
     openings = judged.select("pair_kind", "pair_id", "words", "family", "declines", "asked", "foreign", bag.alias("bag"), F.array_contains("words", "§").cast("int").alias("taken")).withColumn("bag_id", F.xxhash64("bag"))
-    refused = openings.join(refusals(openings), "bag_id", "left_semi").select("pair_kind", "pair_id")
+    # Written, so that the plan of the result does not hold that of the clusters.
+    refused = cut_lineage(openings.join(refusals(openings), "bag_id", "left_semi").select("pair_kind", "pair_id"))
 
     wanted = judged.where(F.size("grams") > 0).select("pair_kind", "pair_id", F.explode("grams").alias("g")).select(
         "pair_kind", "pair_id", F.substring_index("g", "\x02", 1).cast("int").alias("k"), F.substring_index("g", "\x02", -1).alias("gram")
