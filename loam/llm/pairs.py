@@ -90,7 +90,7 @@ def reduced(text: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Lower-case words with every number as '#'."""
     spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}']+", " "))
-    return F.filter(F.split(F.regexp_replace(spaced, r"\S*\p{N}\S*", "#"), " "), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(spaced, r"(?<!\S)[^\s\p{N}]*+\p{N}\S*+", "#"), " "), lambda w: w != "")
 
 
 def spoken_text(answer: Column) -> Column:
@@ -100,7 +100,10 @@ def spoken_text(answer: Column) -> Column:
 
 
 def declines(answer: Column) -> Column:
-    return F.coalesce(spoken_text(answer).rlike("(?U)" + "|".join(f"(?:{x})" for x in REFUSALS)), F.lit(False))
+    # One look for a word's edge at each place of a text, and not one for each wording.
+    inside, first = [x[2:] for x in REFUSALS if x.startswith(r"\b")], [x for x in REFUSALS if not x.startswith(r"\b")]
+    wordings = "|".join([rf"\b(?:{'|'.join(inside)})", *(f"(?:{x})" for x in first)])
+    return F.coalesce(spoken_text(answer).rlike(f"(?U){wordings}"), F.lit(False))
 
 
 def within_edits(a: str, b: str, most: int) -> bool:
@@ -147,14 +150,19 @@ def all_pairs(cases: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def opening_words(question: Column, answer: Column) -> Column:
     """The words of an answer's first sentence; '#' for numbers and '§' for words of the prompt."""
-    asked = plain_words(question)
-    said = F.slice(plain_words(F.element_at(F.split(F.trim(F.coalesce(answer, F.lit(""))), r"(?<=[.!?…])\s+|\n"), 1)), 1, OPENING_WORDS)
-    return F.transform(said, lambda w: F.when((F.length(w) >= MASKED_LETTERS) & F.array_contains(asked, w), F.lit("§")).otherwise(w))
+    said = F.slice(plain_words(F.element_at(F.split(F.trim(F.coalesce(answer, F.lit(""))), r"(?<=[.!?…])\s+|\n", 2), 1)), 1, OPENING_WORDS)
+
+    def masked(asked: Column) -> Column:
+        return F.transform(said, lambda w: F.when((F.length(w) >= MASKED_LETTERS) & F.array_contains(asked, w), F.lit("§")).otherwise(w))
+
+    # The prompt's words as a variable: as an expression they would be made again for each word of the answer.
+    return F.element_at(F.transform(F.array(plain_words(question)), masked), 1)
 
 
 def family_of(question: Column) -> Column:
     """The family of a prompt: its first word; null without a question."""
-    return F.when(question.isNotNull(), F.xxhash64(F.element_at(F.concat(plain_words(question), F.array(F.lit(""))), 1)))
+    first = F.regexp_extract(F.lower(question), r"[\p{L}\p{N}']+", 0)  # the first of its plain words
+    return F.when(question.isNotNull(), F.xxhash64(F.when(first.rlike(r"\p{N}"), F.lit("#")).otherwise(first)))
 
 
 def templates(openings: DataFrame) -> DataFrame:
@@ -223,6 +231,30 @@ def _phrase(words: list[str]) -> str:
     return "=" + "\x01".join(words)
 
 
+def _counted_grams(sentences: list[tuple[list[str], int]]) -> Iterator[pd.DataFrame]:
+    """``gram, ends, goes_on`` of sentences, given by their words and how often they occur: each of ``_grams`` at each place."""
+    pad = max(LAST)
+    flat = [w for words, _ in sentences for w in (*["^"] * pad, *words)]
+    numbers: dict[str, int] = {"^": 0}
+    ids = np.array([numbers.setdefault(w, len(numbers)) for w in flat], np.int64)
+    times = np.repeat(np.array([n for _, n in sentences], np.int64), [pad + len(words) for words, _ in sentences])
+    at = np.flatnonzero(ids)
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum([pad + len(words) for words, _ in sentences]) - 1] = True
+    last, times = last[at], times[at]
+    # Numbers of the runs of k words up to each place: those of the runs a word shorter, with the word before them.
+    run = ids
+    for k in range(1, pad + 1):
+        if k > 1:
+            before = np.concatenate([np.zeros(k - 1, np.int64), ids[: len(ids) - k + 1]])
+            run = np.unique(run * len(numbers) + before, return_inverse=True)[1]
+        if k in LAST:
+            _, first, gram = np.unique(run[at], return_index=True, return_inverse=True)
+            ends = np.bincount(gram, np.where(last, times, 0)).astype(np.int64)
+            goes_on = np.bincount(gram, np.where(last, 0, times)).astype(np.int64)
+            yield pd.DataFrame({"gram": ["\x01".join(flat[i - k + 1 : i + 1]) for i in at[first].tolist()], "ends": ends, "goes_on": goes_on})
+
+
 def sentence_ends(texts: DataFrame, column: str) -> DataFrame:
     """``gram, ends, goes_on``: how often one to six words end a sentence of the texts and how often others follow.
 
@@ -234,31 +266,38 @@ def sentence_ends(texts: DataFrame, column: str) -> DataFrame:
         for pdf in batches:
             ends: Counter = Counter()
             on: Counter = Counter()
-            for text in pdf[column].dropna():
+            closed: Counter = Counter()
+            for text, n in Counter(pdf[column].dropna().tolist()).items():
                 sentences = _SENTENCE.split(text.strip())
                 if len(sentences) == 1 and len(whole := _tail_words(text)) <= PHRASE_WORDS:
-                    ends[_phrase(whole)] += 1
+                    ends[_phrase(whole)] += n
                 for sentence in sentences:
                     if _CLOSED.search(sentence.rstrip()):
-                        words = _tail_words(sentence)
-                        on.update(_phrase(words[:k]) for k in range(1, min(PHRASE_WORDS + 1, len(words))))
-                        for k in range(1, len(words)):
-                            on.update(_grams(words, k))
-                        if words:
-                            ends.update(_grams(words, len(words)))
+                        closed[sentence] += n
+            listed = [(words, n) for sentence, n in closed.items() if (words := _tail_words(sentence))]
+            for words, n in listed:
+                for k in range(1, min(PHRASE_WORDS + 1, len(words))):
+                    on[_phrase(words[:k])] += n
             keys = list(ends | on)
             yield pd.DataFrame({"gram": keys, "ends": [ends[k] for k in keys], "goes_on": [on[k] for k in keys]})
+            if listed:
+                yield from _counted_grams(listed)
 
     counted = spread(texts.select(column)).mapInPandas(run, "gram string, ends bigint, goes_on bigint")
     return counted.groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
 
 
+def _profiled(tool: Identifier, texts: pd.Series) -> dict[str, np.ndarray]:
+    """``profile`` of texts of which many are the same."""
+    places, distinct = pd.factorize(texts.fillna(""))
+    return {k: x[places] for k, x in tool.profile(list(distinct)).items()}
+
+
 def _judge_text(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Language defect, structural break and last words of each pair."""
     tool: Identifier = shared.value
     for pdf in batches:
-        asked = tool.profile([q or "" for q in pdf["question"]])
-        given = tool.profile([a or "" for a in pdf["answer"]])
+        asked, given = (_profiled(tool, pdf[c]) for c in ("question", "answer"))
         rows = np.arange(len(pdf))
         known = (asked["words"] >= 3) & (asked["letters"] >= 10) & (asked["margin"] >= ASKED)
         best, wanted = given["language"], asked["language"]
@@ -312,7 +351,7 @@ def defective_pairs(cases: DataFrame, episodes: DataFrame, identifier: Identifie
     opened = rest.select("pair_kind", "pair_id", "question", "answer", words.alias("words"), family_of(F.col("question")).alias("family"), declines(F.col("answer")).alias("declines"))
     schema = "pair_kind string, pair_id string, words array<string>, family bigint, declines boolean, asked int, foreign boolean, broken boolean, grams array<string>"
     judged = cut_lineage(spread(opened).mapInPandas(lambda b: _judge_text(shared, b), schema))
-    openings = judged.select("pair_kind", "pair_id", "words", "family", "declines", "asked", "foreign", bag.alias("bag"), F.array_contains("words", "§").cast("int").alias("taken")).withColumn("bag_id", F.xxhash64("bag"))
+    openings = cut_lineage(judged.select("pair_kind", "pair_id", "words", "family", "declines", "asked", "foreign", bag.alias("bag"), F.array_contains("words", "§").cast("int").alias("taken")).withColumn("bag_id", F.xxhash64("bag")))
     # Written, so that the plan of the result does not hold that of the clusters.
     refused = cut_lineage(openings.join(refusals(openings), "bag_id", "left_semi").select("pair_kind", "pair_id"))
 
