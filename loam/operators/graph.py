@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import words
+from loam.operators import vectors
 from loam.operators.components import connected_components
 from loam.session import cut_lineage
 
@@ -23,6 +24,8 @@ KEY_ROWS = 2_000
 DEEPEST = 12
 #: Edges up to which an iterative ranking runs in one task; the count is checked, larger graphs take the distributed loop.
 ONE_TASK_EDGES = 2_000_000
+#: Nodes up to which a larger graph's ranking keeps its state in one vector of eight bytes a node, which is read by all tasks.
+VECTOR_NODES = 20_000_000
 
 
 def edges_labeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -210,26 +213,33 @@ def _rank_distributed(ids: DataFrame, links: DataFrame, restart: DataFrame | Non
     return rank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
-    """``id, rank``: directed, parallel edges once, no loops, unknown ends left out, a fixed number of rounds; what dangling
-    nodes hold is spread over all. Sums to 1."""
+def _ranked(nodes: DataFrame, one: DataFrame, seeds: DataFrame | None, damping: float, rounds: int, epsilon: float, one_task_edges: int, vector_nodes: int) -> DataFrame:
+    """The ranking in the way that fits the counted size. Links ``a, b`` are all edges without loops."""
+    size = nodes.count()
+    small = size <= one_task_edges and one.count() + size <= one_task_edges
+    if not small and (graph := vectors.NodeVector.of(nodes, size, vector_nodes)) is not None:
+        return vectors.ranks(graph, one, seeds, damping, rounds, epsilon)
     ids = nodes.select("id").distinct()
-    links = edges.where("efrom <> eto").select(F.col("efrom").alias("a"), F.col("eto").alias("b")).distinct()
+    links = one.distinct() if seeds is None else one
     links = links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", F.lit(1.0).alias("w"))
-    small = edges.count() + nodes.count() <= one_task_edges
-    return (_rank_in_one_task if small else _rank_distributed)(ids, links, None, damping, rounds, -1.0)
+    if seeds is not None:
+        links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    return (_rank_in_one_task if small else _rank_distributed)(ids, links, seeds, damping, rounds, epsilon)
 
 
-def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, epsilon: float = EPSILON, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, one_task_edges: int = ONE_TASK_EDGES, vector_nodes: int = VECTOR_NODES) -> DataFrame:
+    """``id, rank``: directed, parallel edges once, no loops, unknown ends left out, a fixed number of rounds; what dangling
+    nodes hold is spread over all. Sums to 1."""
+    links = edges.where("efrom <> eto").select(F.col("efrom").alias("a"), F.col("eto").alias("b"))
+    return _ranked(nodes, links, None, damping, rounds, -1.0, one_task_edges, vector_nodes)
+
+
+def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, epsilon: float = EPSILON, one_task_edges: int = ONE_TASK_EDGES, vector_nodes: int = VECTOR_NODES) -> DataFrame:
     """``id, rank`` from seeds ``id, w``: either way along every edge, parallel ones counted, no loops, unknown ends left
     out; a walk starts again with probability alpha and from dangling nodes. No seeds give no rows."""
-    ids = nodes.select("id").distinct()
-    one = edges.where("efrom <> eto").select(F.col("efrom").alias("a"), F.col("eto").alias("b"))
-    one = one.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    links = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    links = edges.where("efrom <> eto").select(F.col("efrom").alias("a"), F.col("eto").alias("b"))
     start = seeds.groupBy("id").agg(F.sum("w").alias("w"))
-    small = edges.count() + nodes.count() <= one_task_edges
-    return (_rank_in_one_task if small else _rank_distributed)(ids, links, start, 1 - alpha, rounds, epsilon)
+    return _ranked(nodes, links, start, 1 - alpha, rounds, epsilon, one_task_edges, vector_nodes)
 
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:

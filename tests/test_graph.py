@@ -200,3 +200,26 @@ def test_relations_of_a_query_do_not_stay(spark):
     assert spark.table("nodes").columns == ["mine"] and not spark.catalog.tableExists("edges")
     assert [r.id for r in out.collect()] == ["a"]
     spark.catalog.dropTempView("nodes")
+
+
+def test_large_graphs_keep_their_links_packed(spark):
+    import random
+    from pathlib import Path
+
+    from loam.session import ensure_checkpoint_dir
+
+    rng = random.Random(8)
+    ids = [f"node:{k:09}" for k in range(4000)]
+    rows = [(rng.choice(ids), "R", rng.choice([*ids, "unknown"])) for _ in range(40_000)]
+    nodes, edges = spark.createDataFrame([(x,) for x in ids] + [(ids[0],)], "id STRING"), spark.createDataFrame(rows + rows[:500], EDGES)
+    seeds = spark.createDataFrame([(ids[3], 1.0), (ids[5], 2.0), ("nowhere", 9.0)], "id STRING, w DOUBLE")
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    for make in (lambda **k: G.pagerank(nodes, edges, rounds=10, **k), lambda **k: G.personalized_pagerank(nodes, edges, seeds, rounds=10, epsilon=-1.0, **k)):
+        one = {r.id: r["rank"] for r in make().collect()}
+        before = held()
+        many = {r.id: r["rank"] for r in make(one_task_edges=0).collect()}
+        assert many == pytest.approx(one, abs=1e-12) and len(many) == len(ids)
+        assert held() - before < 12 * 2 * len(rows)
+        joined = {r.id: r["rank"] for r in make(one_task_edges=0, vector_nodes=0).collect()}
+        assert joined == pytest.approx(one, abs=1e-12)
