@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loam.session import cut_lineage, ensure_checkpoint_dir
 
 #: Links that are numbered at once, and targets of one block at most.
-AT_ONCE, BLOCK_NODES = 1_000_000, 400_000
+AT_ONCE, BLOCK_NODES = 1_000_000, 150_000
 #: Tasks that count links; each writes one small number a node.
 COUNTERS = 3
 _CODEC = pa.Codec("zstd", compression_level=1)
