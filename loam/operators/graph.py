@@ -242,8 +242,15 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     return _ranked(nodes, links, start, 1 - alpha, rounds, epsilon, one_task_edges, vector_nodes)
 
 
-def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, vector_nodes: int = VECTOR_NODES) -> DataFrame:
     """``id, community``: connected components, named by their least node; a node without edges is its own."""
+    size = nodes.count()
+    numbered = None
+    if size > one_task_edges and (graph := vectors.NodeVector.of(nodes, size, vector_nodes)) is not None:
+        links = edges.where("efrom <> eto").select(F.col("efrom").alias("a"), F.col("eto").alias("b"))
+        numbered = vectors.components(graph, links)
+    if numbered is not None:
+        return numbered.join(numbered.groupBy("component").agg(F.min("id").alias("community")), "component").select("id", "community")
     found = connected_components(edges.where("efrom <> eto"), "efrom", "eto")
     return nodes.select("id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 

@@ -82,6 +82,10 @@ class Folder:
             one.seek(int(first) * width)
             return np.frombuffer(one.read_buffer() if end is None else one.read_buffer(int(end - first) * width), kind)
 
+    def has(self, name: str) -> bool:
+        files, path = self._at()
+        return files.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound
+
     def drop(self, name: str) -> None:
         files, path = self._at()
         files.delete_dir(f"{path}/{name}")
@@ -137,7 +141,7 @@ class NodeVector:
 
     def blocks(self, links: DataFrame, both: bool, once: bool) -> DataFrame:
         """``k, to, source``: links ``a, b`` of known nodes by the slice of b; both: either way; once: parallel ones count once."""
-        read, ends = self.reader(), self.ends
+        read, ends, folder = self.reader(), self.ends, self.folder
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = read("hash", "i8")
@@ -147,6 +151,8 @@ class NodeVector:
                 a, b = (_places(hashes, np.concatenate([x.column(k).to_numpy() for x in held])) for k in (0, 1))
                 held.clear()
                 real = (a >= 0) & (b >= 0)
+                if not real.all():
+                    folder.put("unknown/some", np.ones(1))
                 a, b = a[real], b[real]
                 codes = np.concatenate([b << 32 | a, a << 32 | b]) if both else b << 32 | a
                 codes = np.unique(codes) if once else np.sort(codes)
@@ -206,16 +212,16 @@ class NodeVector:
         held = given.join(F.broadcast(slices.select("k")), "k", "left_semi").unionByName(slices)
         return float(sum(r.total for r in held.groupBy("k").applyInPandas(write, "total double").collect()))
 
-    def named(self, vector: str, name: str) -> DataFrame:
+    def named(self, vector: str, name: str, kind: str = "double") -> DataFrame:
         """``id`` and the node's number in the vector."""
         read = self.reader()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, values = read("hash", "i8"), read(vector)
+            hashes, values = read("hash", "i8"), read(vector, "f8" if kind == "double" else "i8")
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values[_places(hashes, batch.column(1).to_numpy())])], ["id", name])
 
-        return self.ids.select("id", F.xxhash64("id").alias("h")).mapInArrow(run, f"id string, {name} double")
+        return self.ids.select("id", F.xxhash64("id").alias("h")).mapInArrow(run, f"id string, {name} {kind}")
 
 
 def ranks(graph: NodeVector, links: DataFrame, restart: DataFrame | None, damping: float, rounds: int, epsilon: float) -> DataFrame:
@@ -261,3 +267,93 @@ def ranks(graph: NodeVector, links: DataFrame, restart: DataFrame | None, dampin
             break
     folder.drop(f"share{k}")
     return graph.named(f"rank{k}", "rank")
+
+
+def components(graph: NodeVector, links: DataFrame, max_rounds: int = 50) -> DataFrame | None:
+    """``id, component``: nodes that links join, either way, have the same number. None where a link has an unknown end,
+    over which nodes may be joined as well.
+
+    Each round a node takes the least number that a neighbour's forerunner has and hands it to its own forerunner, and
+    forerunners are followed once: the number of rounds grows with the logarithm of the graph's size. What is handed on
+    goes through files, each in order of its receivers, of which a slice's task reads its own stretches.
+    """
+    folder, ends, read = graph.folder, graph.ends, graph.reader()
+    blocks = graph.blocks(links, both=True, once=True)
+    if folder.has("unknown"):
+        return None
+    slices = blocks.select("k")
+
+    def each(job):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in zip(*(x.to_pylist() for x in batch.columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(job(*row))], pa.int64())], ["moved"])
+
+        return run
+
+    def begin(k: int) -> int:
+        folder.put(f"old0/{k}", np.arange(ends[k], ends[k + 1]))
+        return 0
+
+    def meet(now: int):
+        kept: dict[str, np.ndarray] = {}  # the vector, read once a task
+
+        def job(k: int, to: bytes, source: bytes) -> int:
+            if "old" not in kept:
+                kept["old"] = read(f"old{now}", "i8")
+            old, (to, source) = kept["old"], _unpack_links(to, source)
+            own = old[ends[k] : ends[k + 1]].copy()
+            first = np.flatnonzero(np.diff(to, prepend=-1))
+            least = own.copy()
+            if len(first):
+                least[to[first]] = np.minimum(own[to[first]], np.minimum.reduceat(old[source], first))
+            less = np.flatnonzero(least < own)
+            order = np.lexsort((least[less], own[less]))
+            root, value = own[less][order], least[less][order]
+            once = np.flatnonzero(np.diff(root, prepend=-1))
+            root, value = root[once], value[once]
+            folder.put(f"new{now}/{k}", least)
+            folder.put(f"hand{now}/{k}", np.concatenate([np.searchsorted(root, ends), root, value]))
+            return len(root)
+
+        return job
+
+    def take(now: int, giving: list[int]):
+        def job(k: int) -> int:
+            new = folder.get(f"new{now}/{k}", "i8").copy()
+            for g in giving:
+                at = folder.get(f"hand{now}/{g}", "i8", 0, len(ends))
+                i, j, n = int(at[k]), int(at[k + 1]), int(at[-1])
+                if i < j:
+                    root = folder.get(f"hand{now}/{g}", "i8", len(ends) + i, len(ends) + j) - ends[k]
+                    value = folder.get(f"hand{now}/{g}", "i8", len(ends) + n + i, len(ends) + n + j)
+                    new[root] = np.minimum(new[root], value)
+            folder.put(f"taken{now}/{k}", new)
+            return 0
+
+        return job
+
+    def follow(now: int):
+        kept: dict[str, np.ndarray] = {}
+
+        def job(k: int) -> int:
+            if "taken" not in kept:
+                kept["taken"] = read(f"taken{now}", "i8")
+            new = kept["taken"][folder.get(f"taken{now}/{k}", "i8")]
+            folder.put(f"old{now + 1}/{k}", new)
+            return (new != folder.get(f"old{now}/{k}", "i8")).sum()
+
+        return job
+
+    run = lambda df, job: sum(r.moved for r in df.mapInArrow(each(job), "moved long").collect())
+    run(slices, begin)
+    giving = np.flatnonzero(np.diff(ends)).tolist()
+    for now in range(max_rounds):
+        run(blocks, meet(now))
+        run(slices, take(now, giving))
+        moved = run(slices, follow(now))
+        for name in ("old", "new", "hand", "taken"):
+            folder.drop(f"{name}{now}")
+        if not moved:
+            return graph.named(f"old{now + 1}", "component", "long")
+    raise RuntimeError(f"components are not done after {max_rounds} rounds")

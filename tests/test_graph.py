@@ -223,3 +223,20 @@ def test_large_graphs_keep_their_links_packed(spark):
         assert held() - before < 12 * 2 * len(rows)
         joined = {r.id: r["rank"] for r in make(one_task_edges=0, vector_nodes=0).collect()}
         assert joined == pytest.approx(one, abs=1e-12)
+
+
+def test_communities_of_large_graphs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    ids = [f"n{k:03}" for k in range(600)]
+    pairs = [(f"n{k:03}", f"n{k + 1:03}") for k in range(150)] + [(rng.choice(ids[200:]), rng.choice(ids[200:])) for _ in range(220)] + [("n199", "n199")]
+    nodes = spark.createDataFrame([(x,) for x in ids], "id STRING")
+    frame = lambda more: spark.createDataFrame([(a, "R", b) for a, b in pairs + more], EDGES)
+    over_unknown = [("n190", "aside"), ("n195", "aside")]
+    for more in ([], over_unknown):
+        want = {r.id: r.community for r in G.communities(nodes, frame(more)).collect()}
+        assert {r.id: r.community for r in G.communities(nodes, frame(more), one_task_edges=0).collect()} == want
+    assert want["n190"] == want["n195"] == "aside" and want["n150"] == "n000" and want["n199"] == "n199"
+    monkeypatch.setattr(G, "connected_components", None)
+    assert len({r.community for r in G.communities(nodes, frame([]), one_task_edges=0).collect()}) > 50
