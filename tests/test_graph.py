@@ -240,3 +240,17 @@ def test_communities_of_large_graphs(spark, monkeypatch):
     assert want["n190"] == want["n195"] == "aside" and want["n150"] == "n000" and want["n199"] == "n199"
     monkeypatch.setattr(G, "connected_components", None)
     assert len({r.community for r in G.communities(nodes, frame([]), one_task_edges=0).collect()}) > 50
+
+
+def test_related_in_a_large_graph(spark, monkeypatch):
+    ids = [f"n{k:02}" for k in range(40)]
+    nodes = spark.createDataFrame([(x, "T", x) for x in ids], NODES)
+    edges = spark.createDataFrame([(ids[k], "R", ids[k // 3]) for k in range(1, 30)] + [("n02", "SIMILAR", "n35")], EDGES)
+
+    def found(**way):
+        meta = G.communities(nodes, edges, **way).join(G.pagerank(nodes, edges, **way).select("id", F.round("rank", 8).alias("pagerank")), "id")
+        return [(r.id, r.how) for r in G.related(nodes, edges, meta, "n02").orderBy("place").collect()]
+
+    want = found()
+    monkeypatch.setattr(G, "connected_components", None)
+    assert found(one_task_edges=0) == want and want[0] == ("n35", "similar") and len(want) == 8  # the similar one is among the best eight, too
